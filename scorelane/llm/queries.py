@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelane.llm import chat, secret_scan
-from scorelane.llm.common import Scratch, table
+from scorelane.llm import chat, lang_id, secret_scan, toxicity
+from scorelane.llm.common import Scratch, crc_of_id, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,33 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learnt from the documents of which crc32(doc_id) mod 5 is not 0."""
+    return toxicity.learn(docs, labels.where(crc_of_id("doc_id") % 5 != 0).select("doc_id", "toxic"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    out = docs.withColumn("score", toxicity.score(model, F.col("text")))
+    return out.select("doc_id", F.coalesce(crc_of_id("doc_id") % 5 == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def language_model(docs: DataFrame) -> lang_id.Model:
+    """Learnt from the documents of which crc32(doc_id) mod 3 is not 1."""
+    return lang_id.learn(docs.where(crc_of_id("doc_id") % 3 != 1))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = docs.select("doc_id", lang_id.predict(language_model(docs), F.col("text")).alias("p"))
+    return out.select("doc_id", F.coalesce(crc_of_id("doc_id") % 3 == 1, F.lit(True)).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op4_toxicity": op4_toxicity,
     "op9_secret_scan": op9_secret_scan,
+    "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
