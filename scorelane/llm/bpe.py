@@ -21,7 +21,7 @@ the square of its length, as merging is one pair at a time.
 from __future__ import annotations
 
 import base64
-import hashlib
+import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MOST_WORDS = 600_000
-SHELVES = 1 << 15
-NONE = (1 << 31) - 1
+SHELVES = 1 << 15  # of the rank map
+NONE = (1 << 31) - 1  # no rank
+PAIR_TYPE = "struct<pairs:array<array<bigint>>,ranks:array<array<int>>,bytes:array<int>>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,36 +42,175 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
-    """The id that two neighbouring ids merge to, for every way to cut a token into two tokens."""
-    out = {}
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The literal that the fold looks pairs up in: shelves of pairs of ids, the ids they merge to, and the ids of bytes."""
+    pairs: list[list[int]] = [[] for _ in range(SHELVES)]
+    merged: list[list[int]] = [[] for _ in range(SHELVES)]
     for token, rank in ranks.items():
         for k in range(1, len(token)):
             a, b = ranks.get(token[:k]), ranks.get(token[k:])
             if a is not None and b is not None:
-                out[a, b] = rank
+                pairs[(a * 20011 + b * 9973) % SHELVES].append(a << 17 | b)
+                merged[(a * 20011 + b * 9973) % SHELVES].append(rank)
+    text = json.dumps({"pairs": pairs, "ranks": merged, "bytes": [ranks[bytes([i])] for i in range(256)]}, separators=(",", ":"))
+    return F.from_json(F.lit(text), PAIR_TYPE)
+
+
+def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
+    """array<array<int>>: the ids of each word, given as an array of its bytes."""
+
+    def rank(table: Column, a: Column, b: Column) -> Column:
+        shelf = (a * 20011 + b * 9973).bitwiseAND(F.lit(SHELVES - 1))
+        pair = F.shiftleft(a.cast("bigint"), 17).bitwiseOR(b.cast("bigint"))
+        place = F.array_position(F.get(table["pairs"], shelf), pair).cast("int")
+        return F.coalesce(F.get(F.get(table["ranks"], shelf), place - 1), F.lit(NONE))
+
+    def merge(table: Column, state: Column) -> Column:
+        """Merges the leftmost pair of the lowest rank; only its neighbours' ranks are looked up anew."""
+        ids, low, n = state["ids"], F.array_min(state["ranks"]), F.size(state["ids"])
+
+        def at(low_at: Column) -> Column:
+            low, p = low_at["low"], low_at["p"]
+            before = F.when(p > 1, F.array(rank(table, F.get(ids, p - 2), low))).otherwise(F.array().cast("array<int>"))
+            after = F.when(p + 1 < n, F.array(rank(table, low, F.get(ids, p + 1)))).otherwise(F.array().cast("array<int>"))
+            return F.struct(
+                F.concat(F.slice(ids, F.lit(1), p - 1), F.array(low), F.slice(ids, p + 2, n)).alias("ids"),
+                F.concat(F.slice(state["ranks"], F.lit(1), F.greatest(p - 2, F.lit(0))), before, after, F.slice(state["ranks"], p + 2, n)).alias("ranks"),
+            )
+
+        low_at = F.array(F.struct(low.alias("low"), F.array_position(state["ranks"], low).cast("int").alias("p")))
+        return F.when(F.coalesce(low, F.lit(NONE)) == NONE, state).otherwise(F.get(F.transform(low_at, at), F.lit(0)))
+
+    def ids_of(table: Column, word: Column) -> Column:
+        ids = F.transform(word, lambda b: F.get(table["bytes"], b.cast("int")))
+        steps = F.slice(word, F.lit(2), F.size(word))
+
+        def first(ids: Column) -> Column:
+            n = F.size(ids) - 1
+            ranks_ = F.zip_with(F.slice(ids, F.lit(1), n), F.slice(ids, F.lit(2), n), lambda a, b: rank(table, a, b))
+            return F.aggregate(steps, F.struct(ids.alias("ids"), ranks_.alias("ranks")), lambda state, _: merge(table, state), lambda state: state["ids"])
+
+        return F.when(F.size(word) == 0, F.array().cast("array<int>")).otherwise(F.get(F.transform(F.array(ids), first), F.lit(0)))
+
+    # The literal is bound once, so the plan holds it once.
+    return F.get(F.transform(F.array(rank_map(ranks)), lambda table: F.transform(words, lambda word: ids_of(table, word))), F.lit(0))
+
+
+def _byte_lists(words: list[bytes]) -> pa.Array:
+    values = np.frombuffer(b"".join(words), np.uint8).astype(np.int16)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]), pa.int32()), pa.array(values, pa.int16()))
+
+
+def frequent_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int], text: str, sample_docs: int, most_words: int) -> pa.Table:
+    """word, ids of the commonest words among about sample_docs of the documents."""
+    rate = min(1.0, sample_docs / max(1, docs.count()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find = regex.compile(pattern).findall
+        for b in batches:
+            n: Counter = Counter()
+            for t in b.column(0).to_pylist():
+                n.update(find(t or ""))
+            yield pa.RecordBatch.from_pydict({"word": pa.array([w.encode() for w in n], pa.binary()), "n": pa.array(n.values(), pa.int64())})
+
+    picked = docs.select(F.col(text).cast("string").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    words = picked.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = words.orderBy(F.desc("n"), "word").limit(most_words)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _byte_lists(b.column(0).to_pylist())], names=["word", "bytes"])
+
+    bytes_ = words.select("word").mapInArrow(listed, "word binary, bytes array<smallint>").repartition(words.sparkSession.sparkContext.defaultParallelism)
+    return bytes_.select("word", F.get(fold_words(F.array("bytes"), ranks), F.lit(0)).alias("ids")).toArrow()
+
+
+class _Codes(dict):
+    """What stands for each word: its ids, or if it isn't known yet, a negative number under which it is sent to the fold."""
+
+    def __init__(self, known: pa.Table):
+        ids = known.column("ids").combine_chunks()
+        offsets, values = ids.offsets.to_numpy() * 4, ids.values.to_numpy().astype("<i4").tobytes()
+        super().__init__((w.decode(errors="surrogateescape"), values[a:b]) for w, a, b in zip(known.column("word").to_pylist(), offsets[:-1], offsets[1:], strict=True))
+        self.known, self.sent, self.new = len(self), [], 0
+
+    def __missing__(self, word: str) -> bytes:
+        self.new += 1
+        self.sent.append(word)
+        self[word] = out = np.array([-self.new], "<i4").tobytes()
+        return out
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", sample_docs: int = 20_000, most_words: int = 300_000) -> DataFrame:
+    """key, ids (binary, little-endian unsigned 32-bit), decoded (binary) of each row's text."""
+    known = frequent_words(docs, pattern, ranks, text, sample_docs, most_words)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
+    key_field = T.StructField("_key", rows.schema[0].dataType)
+    sent = T.StructType([key_field, T.StructField("anew", T.BooleanType()), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.ArrayType(T.ShortType())))])
+    done = T.StructType([key_field, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find, codes = regex.compile(pattern).findall, _Codes(known)
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                b = whole.slice(at, 1000)
+                anew, out, words, ends = [], [], [], [0]
+                for t in b.column(1).to_pylist():
+                    anew.append(codes.new >= MOST_WORDS)
+                    if anew[-1]:
+                        codes = _Codes(known)
+                    out.append(b"".join(map(codes.__getitem__, find(t or ""))))
+                    words += [w.encode() for w in codes.sent]
+                    ends.append(len(words))
+                    codes.sent.clear()
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _byte_lists(words))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(anew, pa.bool_()), pa.array(out, pa.binary()), lists], names=sent.names)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, met = token_pieces(ranks), []
+        for whole in batches:
+            for start in range(0, len(whole), 1000):
+                b = whole.slice(start, 1000)
+                out, text_out = [], []
+                for anew, code, words in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                    if anew:
+                        met.clear()
+                    lists = words.values
+                    if lists is not None and len(lists):
+                        offsets, values = lists.offsets.to_numpy() * 4, lists.values.to_numpy().astype("<i4").tobytes()
+                        met += [values[a:z] for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+                    numbers = np.frombuffer(code, "<i4")
+                    parts, at = [], 0
+                    for i in np.flatnonzero(numbers < 0).tolist():
+                        parts += [code[at : 4 * i], met[-numbers[i] - 1]]
+                        at = 4 * i + 4
+                    ids = b"".join([*parts, code[at:]])
+                    out.append(ids)
+                    text_out.append(b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array(text_out, pa.binary())], names=done.names)
+
+    folded = rows.mapInArrow(split, sent).select("_key", "anew", "codes", fold_words(F.col("words"), ranks).alias("words"))
+    return folded.mapInArrow(fill, done).withColumnRenamed("_key", key)
+
+
+def token_pieces(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
     return out
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The pair ranks as one literal: shelves by a hash of the pair, on each shelf (pair, rank, pair, rank, ...)."""
-    shelves: list[list[str]] = [[] for _ in range(SHELVES)]
-    for (a, b), rank in pair_ranks(ranks).items():
-        pair = (a << 17) | b
-        shelves[(a * 40503 + b * 9973) % SHELVES].append(f'"{pair}":{rank}')
-    text = "[" + ",".join("{" + ",".join(s) + "}" for s in shelves) + "]"
-    return F.from_json(F.lit(text), "array<map<bigint,int>>")
-
-
-def fold(word: Column, ranks: dict[bytes, int], table: Column) -> Column:
-    """The ids of one word (binary), merged in the order of their ranks."""
-    byte_ids = F.array(*[F.lit(ranks[bytes([i])]) for i in range(256)])
-
-    def rank(a: Column, b: Column) -> Column:
-        shelf = F.get(table, F.pmod(a * 40503 + b * 9973, F.lit(SHELVES)).cast("int"))
-        return F.coalesce(F.try_element_at(shelf, F.shiftleft(a.cast("bigint"), 17).bitwiseOR(b.cast("bigint"))), F.lit(NONE))
-
-    hexed = F.hex(word)
-    n = F.octet_length(word)
-    ids = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(byte_ids, F.conv(F.substr(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("int")))
-    return ids, rank, n
+def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of ids (binary, little-endian unsigned 32-bit); null stays null."""
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = token_pieces(ranks)
+        for a in arrays:
+            yield pa.array([None if x is None else b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in a.to_pylist()], pa.binary())
+
+    run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "binary")(ids)
