@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelane.llm import bpe, chat, lang_id, packing, secret_scan, toxicity
+from scorelane.llm import bpe, chat, html_wrapper, lang_id, minhash, packing, permutation_index, secret_scan, toxicity, vector_dedup
 from scorelane.llm.common import Scratch, crc_of_id, table
 
 
@@ -53,6 +53,24 @@ from e group by conv_id
 """
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
+
+
+def op6_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation_index.search(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_wrapper.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = Scratch(spark, "secrets").put(secret_scan.find_candidates(docs), "found")
@@ -110,6 +128,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_permutation_search": op6_permutation_search,
+    "op7_html_extract": op7_html_extract,
+    "op8_vector_dedup": op8_vector_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }

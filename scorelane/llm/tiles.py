@@ -49,7 +49,7 @@ def by_group(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Rec
         for b in batches:
             if not len(b):
                 continue
-            columns = [b.column(k).to_numpy() for k in keys]
+            columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
             cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if len(b) > 1 else np.zeros(0, int)
             if held and any(held[-1].column(k)[0] != b.column(k)[0] for k in keys):
                 yield work(pa.Table.from_batches(held))
