@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MOST_STRETCHES = 400_000
-# Latin letters up to U+017F whose lower case is one letter, and ASCII: stretches of these are split here.
-PLAIN = re.compile(r"[!-~¡-¬®-įı-ňŊ-ſ]*")
+MOST_STRETCHES = 600_000
+# ASCII and Latin letters up to U+017F whose lower case is one letter.
+PLAIN = "!-~¡-¬®-įı-ňŊ-ſ"
+PLAIN_TEXT, PLAIN_STRETCH = re.compile(f"[ \\n{PLAIN}]*"), re.compile(f"[{PLAIN}]*")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level models write for bytes: printable ones for themselves, the others from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
 
 
 class Encoder:
@@ -41,19 +50,31 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.stretches, self.pieces = _Memory(self._stretch), _Memory(self._encode)
+        self.stretches, self.pieces = _Memory(self._stretch), _Memory(self._piece)
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        """Of a lower-case piece as the tokenizer's own splitting makes them."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
 
     def _stretch(self, text: str) -> bytes:
-        if PLAIN.fullmatch(text):
-            return b"".join(map(self.pieces.__getitem__, self.split(text.lower())))
-        return self._encode(text)
+        if not PLAIN_STRETCH.fullmatch(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        text = text.lower()
+        if text.isalpha():
+            return self.pieces[text]
+        if text[-1:] in {".", ",", "!"} and text[:-1].isalpha():
+            return self.pieces[text[:-1]] + self.pieces[text[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.stretches.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        text = text or ""
+        if text.isascii() or PLAIN_TEXT.fullmatch(text):
+            text = text.lower()  # fewer stretches to remember
+        return b"".join(map(self.stretches.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 class _Memory(dict):
