@@ -1,27 +1,25 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are split by the tokenizer's pattern. Ids of frequent words come from a table that was folded before; the distinct
-other words of a task are folded as they first appear. The fold is a chain of Spark higher-order functions: it starts from
-a word's bytes, looks up each neighbouring pair in a literal rank map, and merges the pair of the lowest rank, leftmost
-first, until no pair has a rank. Decoding concatenates the tokens' binary pieces.
+Texts are split by the tokenizer's pattern, and words are folded once each. The fold is a chain of Spark higher-order
+functions: it starts from a word's bytes, looks up each neighbouring pair in a literal rank map, and merges the pair of the
+lowest rank, leftmost first, until no pair has a rank. The ``most_words`` commonest distinct words among about
+``sample_docs`` documents are folded so, into a table of a bounded size that the tasks hold. Words outside it are folded by
+each task when it first meets them, by the same rule in Python: folding those inside the JVM as well took twice the time
+that is allowed (figures in the README). What the sample holds changes the time, never a result. Decoding concatenates the
+tokens' binary pieces.
 
-One narrow stage does it all: a Python step splits texts and sends each row with the words that its task has not met; the
-fold turns them into ids inside the JVM; a second Python step puts the ids in place, decodes and hashes. Rows keep their
-order between the steps, so both count the same words; after ``MOST_WORDS`` of them both start anew. Nothing is shuffled
-and memory is bounded, whatever the vocabulary of the corpus.
-
-The table of frequent words is a bounded cache: the commonest ``most_words`` words among about ``sample_docs`` documents. It
-changes the time, never a result.
+Encoding is one narrow stage: nothing is shuffled, and a task's memory is bounded whatever the vocabulary of the corpus.
 
 Defined cases: null text is empty; an empty text has no ids and the digests of nothing; null keys stay; repeated rows are
-encoded each; an empty table gives no rows; lone surrogates can't occur in a Spark string. Folding one word takes time with
-the square of its length, as merging is one pair at a time.
+encoded each; an empty table gives no rows. A word of any length takes n log n steps.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MOST_WORDS = 600_000
+MOST_WORDS = 400_000  # words that a task remembers besides the table
+LONG = 64  # bytes of a word beyond which merging uses a heap; none such stand in the table
 SHELVES = 1 << 15  # of the rank map
 NONE = (1 << 31) - 1  # no rank
 PAIR_TYPE = "struct<pairs:array<array<bigint>>,ranks:array<array<int>>,bytes:array<int>>"
@@ -113,7 +112,8 @@ def frequent_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int], text:
             n: Counter = Counter()
             for t in b.column(0).to_pylist():
                 n.update(find(t or ""))
-            yield pa.RecordBatch.from_pydict({"word": pa.array([w.encode() for w in n], pa.binary()), "n": pa.array(n.values(), pa.int64())})
+            words = [(w, k) for x, k in n.items() if len(w := x.encode()) <= LONG]
+            yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in words], pa.binary()), "n": pa.array([k for _, k in words], pa.int64())})
 
     picked = docs.select(F.col(text).cast("string").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(rate * (1 << 30)))
     words = picked.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -127,74 +127,89 @@ def frequent_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int], text:
     return bytes_.select("word", F.get(fold_words(F.array("bytes"), ranks), F.lit(0)).alias("ids")).toArrow()
 
 
-class _Codes(dict):
-    """What stands for each word: its ids, or if it isn't known yet, a negative number under which it is sent to the fold."""
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same fold of one word in Python: the leftmost pair of the lowest rank merges first."""
+    if (whole := ranks.get(word)) is not None:
+        return [whole]
+    if len(word) > LONG:
+        return _merge_long(word, ranks)
+    parts = [word[i : i + 1] for i in range(len(word))]
+    low = [ranks.get(word[i : i + 2], NONE) for i in range(len(word) - 1)]
+    while low and (least := min(low)) != NONE:
+        i = low.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del low[i]
+        if i:
+            low[i - 1] = ranks.get(parts[i - 1] + parts[i], NONE)
+        if i < len(low):
+            low[i] = ranks.get(parts[i] + parts[i + 1], NONE)
+    return [ranks[p] for p in parts]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """With a heap of pairs and a linked list, in n log n steps."""
+    n = len(word)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    gone = bytearray(n)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i] if not gone[i] else n
+        if j >= n or end[j] != stop:
+            continue
+        gone[j], end[i], after[i] = 1, stop, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        if before[i] >= 0 and (r := ranks.get(word[before[i] : stop])) is not None:
+            heapq.heappush(heap, (r, before[i], stop))
+        if after[i] < n and (r := ranks.get(word[i : end[after[i]]])) is not None:
+            heapq.heappush(heap, (r, i, end[after[i]]))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = after[i]
+    return out
+
+
+class _Ids(dict):
+    """The ids of each word as bytes: from the folded table, others folded as they are met, up to a bound."""
 
-    def __init__(self, known: pa.Table):
-        ids = known.column("ids").combine_chunks()
+    def __init__(self, known: pa.Table, ranks: dict[bytes, int]):
+        self.known, self.ranks = known, ranks
+        self._fill()
+
+    def _fill(self) -> None:
+        ids = self.known.column("ids").combine_chunks()
         offsets, values = ids.offsets.to_numpy() * 4, ids.values.to_numpy().astype("<i4").tobytes()
-        super().__init__((w.decode(errors="surrogateescape"), values[a:b]) for w, a, b in zip(known.column("word").to_pylist(), offsets[:-1], offsets[1:], strict=True))
-        self.known, self.sent, self.new = len(self), [], 0
+        self.clear()
+        self.update((w.decode("utf-8", "surrogateescape"), values[a:z]) for w, a, z in zip(self.known.column("word").to_pylist(), offsets[:-1], offsets[1:], strict=True))
 
     def __missing__(self, word: str) -> bytes:
-        self.new += 1
-        self.sent.append(word)
-        self[word] = out = np.array([-self.new], "<i4").tobytes()
+        if len(self) >= MOST_WORDS + len(self.known):
+            self._fill()
+        self[word] = out = array("I", merge_word(word.encode(), self.ranks)).tobytes()
         return out
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", sample_docs: int = 20_000, most_words: int = 300_000) -> DataFrame:
     """key, ids (binary, little-endian unsigned 32-bit), decoded (binary) of each row's text."""
     known = frequent_words(docs, pattern, ranks, text, sample_docs, most_words)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    key_field = T.StructField("_key", rows.schema[0].dataType)
-    sent = T.StructType([key_field, T.StructField("anew", T.BooleanType()), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.ArrayType(T.ShortType())))])
-    done = T.StructType([key_field, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    rows = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
+    done = T.StructType([rows.schema[0], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, codes = regex.compile(pattern).findall, _Codes(known)
+        find, of, pieces = regex.compile(pattern).findall, _Ids(known, ranks).__getitem__, token_pieces(ranks)
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 b = whole.slice(at, 1000)
-                anew, out, words, ends = [], [], [], [0]
-                for t in b.column(1).to_pylist():
-                    anew.append(codes.new >= MOST_WORDS)
-                    if anew[-1]:
-                        codes = _Codes(known)
-                    out.append(b"".join(map(codes.__getitem__, find(t or ""))))
-                    words += [w.encode() for w in codes.sent]
-                    ends.append(len(words))
-                    codes.sent.clear()
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _byte_lists(words))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(anew, pa.bool_()), pa.array(out, pa.binary()), lists], names=sent.names)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, met = token_pieces(ranks), []
-        for whole in batches:
-            for start in range(0, len(whole), 1000):
-                b = whole.slice(start, 1000)
-                out, text_out = [], []
-                for anew, code, words in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                    if anew:
-                        met.clear()
-                    lists = words.values
-                    if lists is not None and len(lists):
-                        offsets, values = lists.offsets.to_numpy() * 4, lists.values.to_numpy().astype("<i4").tobytes()
-                        met += [values[a:z] for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
-                    numbers = np.frombuffer(code, "<i4")
-                    parts, at = [], 0
-                    for i in np.flatnonzero(numbers < 0).tolist():
-                        parts += [code[at : 4 * i], met[-numbers[i] - 1]]
-                        at = 4 * i + 4
-                    ids = b"".join([*parts, code[at:]])
-                    out.append(ids)
-                    text_out.append(b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array(text_out, pa.binary())], names=done.names)
-
-    folded = rows.mapInArrow(split, sent).select("_key", "anew", "codes", fold_words(F.col("words"), ranks).alias("words"))
-    return folded.mapInArrow(fill, done).withColumnRenamed("_key", key)
+                ids = [b"".join(map(of, find(t or ""))) for t in b.column(1).to_pylist()]
+                texts = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], names=done.names)
+
+    return rows.mapInArrow(run, done)
 
 
 def token_pieces(ranks: dict[bytes, int]) -> list[bytes]:
