@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-PAYLOAD = T._parse_datatype_string(
-    """
-    id string,
-    transaction struct<amount float, installments float, requested_at string>,
-    customer struct<avg_amount float, tx_count_24h float, known_merchants array<string>>,
-    merchant struct<id string, mcc string, avg_amount float>,
-    terminal struct<is_online boolean, card_present boolean, km_from_home float>,
-    last_transaction struct<timestamp string, km_from_current float>
-    """
+_KINDS = {"string": T.StringType(), "float": T.FloatType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "long": T.LongType(), "int": T.IntegerType(), "strings": T.ArrayType(T.StringType()), "floats": T.ArrayType(T.FloatType())}
+
+
+def _struct(**fields: str | T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, _KINDS[kind] if isinstance(kind, str) else kind) for name, kind in fields.items()])
+
+
+PAYLOAD = _struct(
+    id="string",
+    transaction=_struct(amount="float", installments="float", requested_at="string"),
+    customer=_struct(avg_amount="float", tx_count_24h="float", known_merchants="strings"),
+    merchant=_struct(id="string", mcc="string", avg_amount="float"),
+    terminal=_struct(is_online="boolean", card_present="boolean", km_from_home="float"),
+    last_transaction=_struct(timestamp="string", km_from_current="float"),
 )
-REFERENCE = T._parse_datatype_string("vector array<float>, label string")
-TEST_FILE = T.StructType(
-    [
-        T.StructField("stats", T._parse_datatype_string("total double, fraud_count double, fraud_rate double, legit_count double, legit_rate double, edge_case_rate double")),
-        T.StructField("entries", T.ArrayType(T.StructType([T.StructField("request", PAYLOAD), T.StructField("expected_approved", T.BooleanType())]))),
-    ]
+REFERENCE = _struct(vector="floats", label="string")
+TEST_FILE = _struct(
+    stats=_struct(total="double", fraud_count="double", fraud_rate="double", legit_count="double", legit_rate="double", edge_case_rate="double"),
+    entries=T.ArrayType(_struct(request=PAYLOAD, expected_approved="boolean")),
 )
-META = T._parse_datatype_string("count long, dims int, dtype string, nlist int, seed long, iters int")
+META = _struct(count="long", dims="int", dtype="string", nlist="int", seed="long", iters="int")
