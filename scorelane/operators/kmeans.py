@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from scorelane.functions.math_expr import half, squared_distance
+from scorelane.functions.math_expr import half
 
+MOST_CENTROIDS = 65_536
 MASK = (1 << 64) - 1
 
 
@@ -35,12 +40,39 @@ def first_rows(count: int, nlist: int, seed: int) -> list[int]:
 
 
 def assign(refs: DataFrame, centroids: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """ref_id, cluster, dist, the kept columns: the nearest centroid of each row, ties to the smaller cluster. One row of the
-    result per row of refs, made without a shuffle: the centroids are an array beside each row."""
-    cs = centroids.select(F.struct("cluster", *names).alias("c")).agg(F.sort_array(F.collect_list("c")).alias("cs"))
-    met = refs.crossJoin(F.broadcast(cs))
-    near = F.array_min(F.transform("cs", lambda c: F.struct(squared_distance([F.col(n) for n in names], [c[n] for n in names]).alias("dist"), c["cluster"].alias("cluster"))))
-    return met.withColumn("_near", near).select("ref_id", *keep, F.col("_near.cluster").alias("cluster"), F.col("_near.dist").alias("dist"))
+    """ref_id, the kept columns, cluster, dist: the nearest centroid of each row, ties to the smaller cluster.
+
+    Centroids are few (MOST_CENTROIDS at most) and go to every task. Rows are compared with all of them in blocks of arrays,
+    summing in double precision from left to right, so there is neither a shuffle nor a row per pair.
+    """
+    cs = centroids.select("cluster", *[F.col(n).cast("double").alias(n) for n in names]).limit(MOST_CENTROIDS + 1).collect()
+    if len(cs) > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
+    cs.sort(key=lambda r: r["cluster"])
+    number, points = np.array([r["cluster"] for r in cs], np.int64), np.array([[r[n] for n in names] for r in cs]).reshape(len(cs), len(names))
+    kept = refs.select("ref_id", *keep)
+    rows = refs.select("ref_id", *keep, *[F.col(n).cast("double").alias(f"_{n}") for n in names])
+    kind = centroids.schema["cluster"].dataType
+    schema = T.StructType([*kept.schema.fields, T.StructField("cluster", kind), T.StructField("dist", T.DoubleType())])
+    lead = len(kept.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cluster, least = np.zeros(len(b), np.int64), np.full(len(b), np.inf)
+            if len(points):
+                x = [b.column(lead + i).to_numpy(zero_copy_only=False) for i in range(len(names))]
+                for at in range(0, len(b), 1024):
+                    dist = np.zeros((len(x[0][at : at + 1024]), len(points)))
+                    for i, column in enumerate(x):
+                        apart = column[at : at + 1024, None] - points[None, :, i]
+                        apart *= apart
+                        dist += apart
+                    best = dist.argmin(axis=1)
+                    cluster[at : at + 1024], least[at : at + 1024] = number[best], dist[np.arange(len(best)), best]
+                out = [*b.columns[:lead], pa.array(cluster).cast(to_arrow_type(kind)), pa.array(least)]
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def means(assigned: DataFrame, names: Sequence[str]) -> DataFrame:

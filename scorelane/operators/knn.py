@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from scorelane.functions.math_expr import squared_distance
 
 MOST_BROADCAST = 20_000  # rows of a broadcast side
+PAIRS_PER_TASK = 5_000_000
+ROWS_PER_SPLIT = 500_000
 
 
 def spread(df: DataFrame, array: str, dims: int, prefix: str = "v") -> DataFrame:
@@ -22,8 +24,8 @@ def spread(df: DataFrame, array: str, dims: int, prefix: str = "v") -> DataFrame
     return df.withColumns({f"{prefix}{i}": F.get(F.col(array), F.lit(i)) for i in range(dims)}).drop(array)
 
 
-def _blocks(queries: DataFrame, qid: str, most: int = MOST_BROADCAST) -> list[DataFrame]:
-    n = -(-queries.count() // most) or 1
+def _blocks(queries: DataFrame, qid: str, total: int, most: int = MOST_BROADCAST) -> list[DataFrame]:
+    n = -(-total // most) or 1
     if n == 1:
         return [queries]
     block = F.pmod(F.xxhash64(qid), F.lit(n))
@@ -43,17 +45,43 @@ def _nearest(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _spread_out(refs: DataFrame, n: int, queries: int) -> DataFrame:
+    """References in enough partitions for all the pairs. A set that is small for a scan, and so in few partitions, can still
+    be much work; a large one is in many partitions already."""
+    wanted = -(-n * queries // PAIRS_PER_TASK)
+    return refs.repartition(min(wanted, 4096), "ref_id") if wanted > max(1, n // ROWS_PER_SPLIT) else refs
+
+
+def _bounds(block: DataFrame, refs: DataFrame, n: int, names: Sequence[str], qid: str, k: int, not_self: str | None) -> DataFrame:
+    """qid and bound: the distance of the k-th nearest among about sqrt(k * n) of the n references, or null if there are fewer
+    than k. The true neighbours lie within it, so beyond it no pair needs sorting."""
+    of = max(1, int((n / k) ** 0.5)) if n else 1
+    some = refs.where(F.pmod(F.xxhash64("ref_id"), F.lit(of)) == 0)
+    q = _as_queries(block, qid, names)
+    met = some.crossJoin(F.broadcast(q))
+    if not_self:
+        met = met.where(F.col(not_self) != F.col("qid"))
+    best = _nearest(met.select("qid", _distance(q, some, names).alias("dist")), k, F.col("dist"))
+    return best.groupBy("qid").agg(F.when(F.count(F.lit(1)) == k, F.max("dist")).alias("bound"))
+
+
 def brute(queries: DataFrame, refs: DataFrame, names: Sequence[str], qid: str = "qid", k: int = 5, not_self: str | None = None) -> DataFrame:
-    """qid, rank, ref_id, pos, is_fraud, dist: the k nearest by (dist, pos). not_self: a column of refs never matched to the same qid."""
+    """qid, rank, ref_id, pos, is_fraud, dist: the k nearest by (dist, pos). not_self: a column of refs never matched to the same
+    qid. All pairs are computed, but only those within a bound from a part of the references are ranked."""
+
+    n, total = refs.count(), queries.count()
+    refs = _spread_out(refs, n, min(total, MOST_BROADCAST))
 
     def part(block: DataFrame) -> DataFrame:
-        q = _as_queries(block, qid, names)
+        bounds = _bounds(block, refs, n, names, qid, k, not_self)
+        q = _as_queries(block, qid, names).join(bounds, "qid", "left")
         met = refs.crossJoin(F.broadcast(q))
         if not_self:
             met = met.where(F.col(not_self) != F.col("qid"))
-        return met.select("qid", "ref_id", "pos", "is_fraud", _distance(q, refs, names).alias("dist"))
+        pairs = met.select("qid", "bound", "ref_id", "pos", "is_fraud", _distance(q, refs, names).alias("dist"))
+        return pairs.where(F.col("bound").isNull() | (F.col("dist") <= F.col("bound"))).drop("bound")
 
-    pairs = reduce(DataFrame.unionByName, [part(b) for b in _blocks(queries, qid)])
+    pairs = reduce(DataFrame.unionByName, [part(b) for b in _blocks(queries, qid, total)])
     return _nearest(pairs, k, F.col("dist"), F.col("pos")).select("qid", "rank", "ref_id", "pos", "is_fraud", "dist")
 
 
@@ -88,7 +116,7 @@ def ivf(queries: DataFrame, refs: DataFrame, centroids: DataFrame, names: Sequen
             met = met.where(F.col(not_self) != F.col("qid"))
         return met.select("qid", "probe_rank", "ref_id", "pos", "is_fraud", _distance(found, refs, names).alias("dist"))
 
-    pairs = reduce(DataFrame.unionByName, [part(b) for b in _blocks(queries, qid, max(1, MOST_BROADCAST // max(1, min(nprobe, 64))))])
+    pairs = reduce(DataFrame.unionByName, [part(b) for b in _blocks(queries, qid, queries.count(), max(1, MOST_BROADCAST // max(1, min(nprobe, 64))))])
     if dtype == "f16":
         within = F.row_number().over(Window.partitionBy("qid", "probe_rank").orderBy("dist", "pos"))
         pairs = pairs.withColumn("within", within).where(F.col("within") <= k).drop("within")

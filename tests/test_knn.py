@@ -80,7 +80,7 @@ def test_few_references_and_queries_without_any(spark):
 def test_blocks_of_queries_give_the_same(spark, monkeypatch):
     asked, table = ask(spark, *[(float(i), 0.0) for i in range(7)]), refs(spark, [(i, 0, i, float(i), 0.5, False) for i in range(20)])
     whole = ids(knn.brute(asked, table, NAMES))
-    monkeypatch.setattr(knn, "_blocks", lambda q, qid, most=2: [q.where(F.pmod(F.xxhash64(qid), F.lit(3)) == i) for i in range(3)])
+    monkeypatch.setattr(knn, "_blocks", lambda q, qid, total, most=2: [q.where(F.pmod(F.xxhash64(qid), F.lit(3)) == i) for i in range(3)])
     assert ids(knn.brute(asked, table, NAMES)) == whole
 
 
