@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 MOST_P99_MS, MOST_FAILURES, CUT, LEAST_P99_MS, LEAST_ERROR, SCALE, PENALTY = 2000.0, 0.15, -3000.0, 1.0, 0.001, 1000.0, 300.0
 
 
+def pair(responses: DataFrame, expected: DataFrame, qid: str = "qid") -> DataFrame:
+    """Rows for confusion: responses (qid, status, body, latency_ms) beside expected (qid, expected_approved). A request
+    without a response counts as an error."""
+    said = responses.select(F.col(qid).alias("_q"), "status", F.from_json("body", "approved boolean")["approved"].alias("approved"), F.col("latency_ms").cast("double").alias("latency_ms"))
+    met = expected.join(said, expected[qid] == said["_q"], "left")
+    return met.select(qid, "expected_approved", "approved", F.coalesce("status", F.lit(0)).alias("status"), "latency_ms")
+
+
 def confusion(scored: DataFrame) -> DataFrame:
     """One row: tp, tn, fp, fn, err, total, p99_ms of rows (expected_approved, approved, status, latency_ms). A positive is a
     fraud, that is a denial."""

@@ -38,3 +38,10 @@ def test_results_json(spark):
     scored = evaluate.scores(evaluate.confusion(spark.createDataFrame([(True, True, 200, 1.234567)], SCHEMA)))
     out = json.loads(evaluate.results_json(scored).first()[0])
     assert out["latency"]["p99"] == 1.23 and out["counts"]["tn"] == 1 and out["final_score"] == out["latency"]["score"] + out["detection"]["score"]
+
+
+def test_pairs_responses_with_expectations(spark):
+    responses = spark.createDataFrame([(1, 200, '{"approved":true,"fraud_score":0.0}', 1.0), (2, 400, '{"error":"bad_request"}', 2.0)], "qid long, status int, body string, latency_ms double")
+    expected = spark.createDataFrame([(1, True), (2, False), (3, True)], "qid long, expected_approved boolean")
+    got = {r["qid"]: (r["expected_approved"], r["approved"], r["status"]) for r in evaluate.pair(responses, expected).collect()}
+    assert got == {1: (True, True, 200), 2: (False, None, 400), 3: (True, None, 0)}

@@ -166,3 +166,23 @@ def test_config_from_environment():
     assert Config.from_env({"USE_IVF": "ON"}).use_ivf
     assert not Config.from_env({"USE_IVF": "0"}).use_ivf
     assert Config.from_env({"NPROBE": "x"}).nprobe == 16
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from scorelane.__main__ import main
+
+    rng = np.random.default_rng(5)
+    rows = [{"vector": [float(x) for x in rng.random(14)], "label": "fraud" if i % 4 == 0 else "legit"} for i in range(50)]
+    (tmp_path / "r.json").write_text(json.dumps(rows))
+    (tmp_path / "t.json").write_text(json.dumps({"stats": {"total": 1}, "entries": [{"request": body(), "expected_approved": True}]}))
+    (tmp_path / "q.txt").write_text(json.dumps(body()) + "\nbad")
+    at = f"file://{tmp_path}"
+    assert main(["build", "--input", f"{at}/r.json", "--output", f"{at}/i", "--ivf", "4", "--max-iter", "3"]) == 0
+    assert main(["score", "--input", f"{at}/q.txt", "--index", f"{at}/i", "--output", f"{at}/o"]) == 0
+    assert sorted(r["status"] for r in spark.read.parquet(f"{at}/o").collect()) == [200, 400]
+    capsys.readouterr()
+    assert main(["evaluate", "--input", f"{at}/t.json", "--index", f"{at}/i"]) == 0
+    assert json.loads(capsys.readouterr().out)["counts"]["http_errors"] == 0
+    with pytest.raises(SystemExit) as e:
+        main(["build", "--input", "x", "--output", "y", "--dtype", "f64"])
+    assert e.value.code == 2
