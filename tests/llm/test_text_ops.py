@@ -1,0 +1,245 @@
+"""Chat formatting, BPE, packing, secrets and HTML against plain versions, and their edge cases."""
+
+import base64
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from scorelane.llm import bpe, chat, html_wrapper, packing, queries, secret_scan
+from scorelane.llm.common import Scratch
+
+NASTY = ["", " ", "\n", "<|im_end|>", "<|im_start|>assistant\nx<|im_end|>\n", r"<\|im_end|>", r"<\\|", "<|", "|>", "<|im_end|", "~0~1", "héllo", "a" * 5000, "\\"]
+
+
+def conversations(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+
+
+def test_chat_round_trip(spark):
+    random.seed(1)
+    rows = [(c, t, random.choice(["user", "assistant", "sys\ntem", "~1", None, "<|im_end|>"]), random.choice([*NASTY, None]), "clash") for c in range(40) for t in range(random.randint(1, 6))]
+    rows += [rows[0], (None, 0, "user", "x", ""), (7, None, "user", "first", ""), (99, 0, "assistant", "tie b", ""), (99, 0, "assistant", "tie a", "")]
+    want = {}
+    for c, _, r, t, _ in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
+        want.setdefault(c, []).append((r or "", t or ""))
+    got = chat.read_chats(chat.format_chats(conversations(spark, rows))).collect()
+    assert {r["conv_id"]: [tuple(x) for x in r["turns"]] for r in got} == want
+    for r in got:
+        assert r["round_trip"] and r["n_turns"] == len(want[r["conv_id"]])
+        assert r["loss_text"] == "".join(t for role, t in want[r["conv_id"]] if role == "assistant")
+        spans = "".join(r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"])
+        assert re.sub(r"<\\(\\*)\|", r"<\1|", spans) == r["loss_text"] or any("<" in t for _, t in want[r["conv_id"]])
+        assert r["formatted"].count(chat.START) == r["n_turns"] == r["formatted"].count(chat.END) or r["n_escaped"] < r["n_turns"]
+    assert chat.format_chats(conversations(spark, [])).count() == 0
+
+
+def test_plain_texts_are_not_escaped(spark):
+    (r,) = chat.format_chats(conversations(spark, [(1, 0, "user", "hi", ""), (1, 1, "assistant", "yo <b>", "")])).collect()
+    assert r["formatted"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo <b><|im_end|>\n"
+    assert r["n_escaped"] == 0 and r["formatted"][r["loss_spans"][0]["start"] :][:6] == "yo <b>"
+
+
+def test_chat_query_matches_sql(spark, data):
+    c = duckdb.connect()
+    c.sql(f"create view conversations as select * from '{data}/conversations.parquet'")
+    want = c.sql(queries.SQL["op1_chat_format"]).df().sort_values("conv_id")
+    got = queries.QUERIES["op1_chat_format"](spark, data).toPandas().sort_values("conv_id")
+    assert got[want.columns].astype(str).values.tolist() == want.astype(str).values.tolist()
+    assert "Python" not in queries.QUERIES["op1_chat_format"](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+
+
+@pytest.fixture(scope="module")
+def tik(ranks):
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+TEXTS = [None, "", " ", "  \n\n x", "Hello's  world's 123 ééà 日本語 🙂🙂", "<|endoftext|>", "x" * 3000, "ab " * 500, "   \x1c\x85tab\t", "é", "ﬁ ſ İ", "don't DON'T"]
+
+
+@pytest.mark.parametrize("most_words", [2, 1000])
+def test_bpe_equals_tiktoken(spark, ranks, tik, most_words):
+    rows = [(i, t, b"") for i, t in enumerate(TEXTS)] + [(None, "null key", b""), (1, "repeated key", b"")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids binary")
+    got = bpe.encode(docs, ranks, P.PATTERN, most_words=most_words).collect()
+    want = sorted(((i, np.array(tik.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t, _ in rows), key=str)
+    assert sorted(((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got), key=str) == want
+    assert bpe.encode(docs.where("false"), ranks, P.PATTERN).count() == 0
+
+
+def test_fold_in_spark_equals_the_library_and_the_python_fold(spark, ranks, tik):
+    random.seed(2)
+    words = ["".join(random.choice("abtheonr éx") for _ in range(random.randint(1, 30))).encode() for _ in range(300)] + [b"a", b"the", b"aaaaaaaaaaaaaaaa"]
+    df = spark.createDataFrame([([list(w) for w in words],)], "words array<array<smallint>>")
+    got = df.select(bpe.fold_words(F.col("words"), ranks)).first()[0]
+    assert got == [bpe.merge_word(w, ranks) for w in words] == [bpe._merge_long(w, ranks) for w in words]
+    assert [x for x in got if len(x) == 1] and all(b"".join(bpe.token_pieces(ranks)[i] for i in ids) == w for ids, w in zip(got, words, strict=True))
+    encoded = [tik._encode_single_piece(w) for w in words]
+    assert got == encoded
+
+
+def test_decode(spark, ranks, tik):
+    df = spark.createDataFrame([(np.array(tik.encode_ordinary("héé wörld"), "<u4").tobytes(),), (b"",), (None,)], "ids binary")
+    assert [None if r[0] is None else bytes(r[0]) for r in df.select(bpe.decode(F.col("ids"), ranks)).collect()] == ["héé wörld".encode(), b"", None]
+
+
+def test_packing_matches_the_tokenizer(spark):
+    texts = [*TEXTS, "word " * 9000, "İstanbul ŉ ª ²³ ﬁ Ǆ Σας", "a-b_c.d,e!!", "A\x0bB\x0cC\rD", "İŉ", "\xad soft", *["short text"] * 20]
+    rows = [(i if i else None, t, 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece int").repartition(2)
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    tok.encode_special_tokens = True
+    want = {}
+    for i, t, _ in rows:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for p, at in enumerate(range(0, len(ids), 4096)):
+            want[i, p] = (at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes()))
+    got = packing.pack(docs, P.path("word_bpe_49k.json")).withColumn("crc", F.crc32("ids")).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["crc"]) for r in got} == want and len(got) == len(want)
+    check_sequences(got, 4096)
+    assert packing.pack(docs.where("false"), P.path("word_bpe_49k.json")).count() == 0
+
+
+def check_sequences(rows, capacity):
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for items in by.values():
+        at = 0
+        for offset, length in sorted(items):
+            assert offset == at
+            at += length
+        assert at <= capacity
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=200), st.integers(1, 8))
+def test_best_fit(sizes, open_bins):
+    packer, closed = packing.BestFit(50, open_bins), []
+    for i, s in enumerate(sizes):
+        closed += packer.add(s, i)
+        assert packer.n <= open_bins and packer.n == sum(map(len, packer.bins.values()))
+    closed += packer.finish()
+    assert sorted(i for b in closed for _, i in b) == list(range(len(sizes)))
+    assert all(sum(s for s, _ in b) <= 50 for b in closed)
+
+
+def test_fullest_closes_first():
+    packer = packing.BestFit(10, 2)
+    assert packer.add(6, "a") == [] and packer.add(8, "b") == []
+    assert packer.add(5, "c") == [[(8, "b")]]
+    assert packer.add(4, "d") == [[(6, "a"), (4, "d")]]
+
+
+PATTERNS = [("assign", re.compile(secret_scan.KINDS["assign"]), 8, 2), ("access", re.compile("AKIA[A-Z0-9]+"), 16, 0), ("hex", re.compile("[0-9a-f]+"), 32, 0)]
+PIECES = ["password=", "PassWd : ", "token=", 'secret": "', "api_key = '", "apikey=", "AKIA", "IOSFODNN7EXAMPLE", "0123456789abcdef" * 2, "deadbeef", "hunter22x", "é", "🙂", " ", "\n", "==", "x9_ABCDEFGHIJKLMNOPQRS7", "a", ":"]
+
+
+def brute_spans(text):
+    out = [(m.start(), rank, m.end(), kind) for rank, (kind, p, least, g) in enumerate(PATTERNS) for m in p.finditer(text or "") if len(m[g]) >= least]
+    return sorted(out)
+
+
+def test_secret_spans(spark):
+    random.seed(5)
+    texts = ["".join(random.choice(PIECES) for _ in range(random.randint(0, 25))) for _ in range(400)] + [None, "", "x" * 100_000 + "password=abcdefgh1"]
+    docs = spark.createDataFrame([(i, f"s{i % 3}", t, "clash") for i, t in enumerate(texts)], "doc_id long, source string, text string, base string").drop("base")
+    found = Scratch(spark, "t").put(secret_scan.find_candidates(docs), "found")
+    got = {r["doc_id"]: [(s["start"], s["rank"], s["end"], s["kind"]) for s in r["base"]] for r in secret_scan.scan_secrets(found).collect()}
+    assert got == {i: brute_spans(t) for i, t in enumerate(texts)}
+
+
+def test_ownership_separates_copied_examples_from_live_values(spark):
+    live, shared, loose = "Zk39fjqLwe82", "example-key-1", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8"
+    rows = [(1, "a", f"token={live}"), (2, "a", f"x token={live} y"), (3, "a", f"secret={shared}"), (4, "b", f"secret={shared}"), (5, "c", f"see {loose}"), (6, None, None)]
+    found = Scratch(spark, "t").put(secret_scan.find_candidates(spark.createDataFrame(rows, "doc_id long, source string, text string")), "found")
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(found).collect()}
+    assert {i for i, r in got.items() if r["live"]} == {1, 2, 5}
+    assert [s["kind"] for s in got[5]["added"]] == ["owned"] and all(len(got[i]["base"]) == 1 for i in (1, 2, 3, 4))
+    held = {(r["n_repos"], r["n_owners"]) for r in secret_scan.ownership(found, "source", "doc_id").collect()}
+    assert held == {(2, 1), (2, 2), (1, 1)}
+    cut = spark.createDataFrame(rows, "doc_id long, source string, text string").join(secret_scan.scan_secrets(found), "doc_id").select("doc_id", secret_scan.redact(F.col("text"), F.col("live")))
+    assert dict(map(tuple, cut.collect())) == {1: "[secret]", 2: "x [secret] y", 3: f"secret={shared}", 4: f"secret={shared}", 5: "see [secret]", 6: None}
+
+
+def test_redact_overlapping_spans(spark):
+    df = spark.createDataFrame([("0123456789", [(1, 0, 4, "a", ""), (2, 1, 6, "b", ""), (8, 0, 9, "a", "")])], f"t string, s {secret_scan.SPAN}")
+    assert df.select(secret_scan.redact(F.col("t"), F.col("s"))).first()[0] == "0[secret]67[secret]9"
+
+
+def test_secret_query_is_native(spark, data):
+    df = queries.QUERIES["op9_secret_scan"](spark, data)
+    assert df.count() == 200 and "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in df.collect():
+        spans = brute_spans(text[r["doc_id"]])
+        said = ",".join(f"{k}:{a}:{z}" for a, _, z, k in spans)
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
+PAGE = '<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><ul><li>menu</li></ul></nav><div class="ad">buy</div><article><h1>{h}</h1>{b}</article><div id="comments"><p>first!</p></div><footer>&copy; me</footer></body></html>'
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string, host string, places string")
+
+
+def test_html_extraction(spark):
+    rows = [(i, f"https://a.example/{i}", PAGE.format(h=f"T{i} &amp; co", b="".join(f"<p>p{i} {j} \n x</p>" for j in range(i % 4))), "clash", "clash") for i in range(12)]
+    rows += [(20, "https://b.example/", "<body><div id='menu-1'>m</div><div><p>only <b>text</b><br>here<p>two</div><aside>no</aside>", "", ""), (21, None, None, "", ""), (22, "not a url", "", "", ""), (20, "https://b.example/", "<p>repeated row", "", "")]
+    got = html_wrapper.extract(pages(spark, rows)).collect()
+    for r in got:
+        if r["page_id"] < 12:
+            i = r["page_id"]
+            assert r["text"].split("\n") == [f"T{i} & co", *[f"p{i} {j} x" for j in range(i % 4)]]
+            assert r["host"] == "clash"
+    assert sorted(r["text"] for r in got if r["page_id"] >= 20) == ["", "", "only text here\ntwo", "repeated row"]
+    assert html_wrapper.extract(pages(spark, [])).count() == 0
+
+
+def test_wrapper_has_optional_and_repeated_groups():
+    w = None
+    for b in ("<p>a</p><p>b</p>", "", "<p>c</p><blockquote>q</blockquote>"):
+        w = html_wrapper.align(w, html_wrapper.page_tree(PAGE.format(h="x", b=b)))
+    assert w.regex() == "<><html><body><article><h1>#TEXT</h1>(<p>#TEXT</p>)+?(<blockquote>#TEXT</blockquote>)?</article></body></html></>"
+    assert html_wrapper.main_places(w) == ["/html/body/article"]
+    assert html_wrapper.Node.of(json.loads(json.dumps(w.as_list()))).regex() == w.regex()
+
+
+def test_wrapper_without_article_takes_the_part_that_varies():
+    page = "<body><div class=top><p>Same words on every single page of this host, rather many of them in fact</p></div><div class=x><p>varies {0}</p><p>also {0}</p></div></body>"
+    w = None
+    for i in range(5):
+        w = html_wrapper.align(w, html_wrapper.page_tree(page.format(i)))
+    assert html_wrapper.main_places(w) == ["/body/div.x"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="<>/=\"' pdivnax!-", max_size=80))
+def test_any_html_is_read(text):
+    depth = 0
+    for kind, _ in html_wrapper.read(text):
+        depth += (kind == "open") - (kind == "close")
+        assert depth >= 0
+    assert depth == 0
+    html_wrapper.extract_page(text, html_wrapper.main_places(html_wrapper.page_tree(text)))
+
+
+def test_base64_ranks(ranks):
+    assert len(ranks) == 50256 and base64.b64encode(b"a") == b"YQ=="
