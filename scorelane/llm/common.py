@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +35,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+        """tasks: in how many files to put a table that is known to be small."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        (df.repartition(tasks) if tasks else df).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
@@ -43,6 +46,18 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_batch(run: Callable[[Iterator], Iterator[pa.Array]], returns: str, *columns: Column) -> Column:
+    """run over batches of the columns. Marked as not deterministic, so that a filter on its result runs it once, not twice."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # the worker idles on beside others
+
+    kind = pa.Array if len(columns) == 1 else tuple[(pa.Array,) * len(columns)]
+    whole.__annotations__ = {"batches": Iterator[kind], "return": Iterator[pa.Array]}
+    return F.arrow_udf(whole, returns).asNondeterministic()(*columns)
+
+
 def crc_of_id(column: str) -> Column:
     """crc32 of a whole-number id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

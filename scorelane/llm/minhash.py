@@ -3,10 +3,11 @@
 1. One pass over the texts makes each document's shingle set (64-bit hashes), ``hashes`` universal hash minima, a key for
    each band of them, and a digest of the set. Only these are written, not the texts.
 2. Documents of one digest have the same set and form a class; only its least key goes on.
-3. Keys that share a band stand in one bucket. Each bucket's members are first paired with its least key alone: that is
-   linear, and ties large groups of copies together. Then, in buckets that still hold several components, all other pairs
-   across components are compared by signature, in blocks of bounded size. So every pair that shares a band is compared
-   unless its ends are already in one component, whatever the bucket's size.
+3. Keys that share a band stand in one bucket. A document is first paired with those least keys of its buckets that share several
+   bands with it, a few in each round and only with other components, until a round links nothing more: that is linear, and
+   ties large groups of copies together. Then, in buckets that still hold several components, all other pairs across components are compared by
+   signature, in blocks of bounded size. So every pair that shares a band is compared unless its ends are already in one
+   component, whatever the bucket's size.
 4. Pairs whose signatures agree enough are confirmed on full sets: 100 * intersection >= percent * union.
 5. Components of the confirmed links are found by alternating large-star and small-star.
 
@@ -30,10 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelane.llm.common import Scratch
+from scorelane.llm.common import Scratch, by_batch
 from scorelane.llm.components import connected
 
-MOST_WORDS = 500_000
+MOST_WORDS = 150_000
+MARKS = 1 << 26  # bits
+STARS = 3  # least keys that a document is paired with in a round; in the first it is one
+PAIRS_PER_TASK = 20_000
 BLOCK = 2048  # members of a bucket that are compared with each other at once
 
 
@@ -91,7 +95,7 @@ def sketch(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(words), Signer(bands, rows)
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, len(whole), 1000)):
             n, digest, keys, sig = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingler.shingles(t)
@@ -116,67 +120,90 @@ def _agreement(a: Column, b: Column) -> Column:
             left, right = (np.frombuffer(b"".join(z.to_pylist()), np.uint8).reshape(len(z), -1) if len(z) else np.zeros((0, 1)) for z in (x, y))
             yield pa.array((left == right).mean(axis=1), pa.float64())
 
-    run.__annotations__ = {"pairs": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "double")(a, b)
+    return by_batch(run, "double", a, b)
 
 
-def _sets(words: int, text: Column) -> Column:
+def _sets(words: int, text: Column, short: bool = False) -> Column:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler = Shingler(words)
         for t in texts:
-            yield pa.array([shingler.shingles(x).tobytes() for x in t.to_pylist()], pa.binary())
+            sets = (shingler.shingles(x.as_py()) for x in t)
+            yield pa.array([(np.unique((s >> np.uint64(32)).astype(np.uint32)) if short else s).tobytes() for s in sets], pa.binary())
 
-    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "binary")(text)
+    return by_batch(run, "binary", text)
 
 
 def _common(a: Column, b: Column) -> Column:
     def run(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x, y in pairs:
             out = []
-            for left, right in zip(x.to_pylist(), y.to_pylist(), strict=True):
-                every = np.concatenate([np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)])
+            for left, right in zip(x, y, strict=True):
+                every = np.concatenate([np.frombuffer(z.as_buffer(), np.uint64) for z in (left, right)])
                 every.sort()
                 out.append(int((every[1:] == every[:-1]).sum()))
             yield pa.array(out, pa.int64())
 
-    run.__annotations__ = {"pairs": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "bigint")(a, b)
+    return by_batch(run, "bigint", a, b)
+
+
+def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key may be among keys, by a bitmap of MARKS bits: 2048 rows of 4 KB at most, so it can go to every
+    task. Others that pass cost time only; when there are very many keys it lets more through."""
+    place = F.pmod(F.xxhash64("key"), F.lit(MARKS)) + 1
+    marks = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    at = rows.withColumn("_p", place).withColumn("_bucket", F.bitmap_bucket_number("_p")).withColumn("_p", F.bitmap_bit_position("_p"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    return at.join(F.broadcast(marks), "_bucket").where(F.getbit(byte, (F.col("_p") % 8).cast("int")) == 1).select(rows.columns)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Of pairs (u, v), those whose full sets are similar enough; written."""
-    pairs = scratch.put(pairs, f"{name}_pairs")
-    need = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(need, "key", "left_semi")
+def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int, scratch: Scratch, name: str, tasks: int | None = None) -> DataFrame:
+    """Of pairs (u, v), those whose full sets are similar enough; written. Only the texts concerned are read on."""
+    pairs = scratch.put(pairs, f"{name}_pairs", tasks)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    texts = _marked(texts, pairs.select(F.explode(F.array("u", "v")).alias("key")))
     sets = scratch.put(texts.select("key", _sets(words, F.col("text")).alias("set")), f"{name}_sets").dropDuplicates(["key"])
     one = pairs.join(sets.select(F.col("key").alias("v"), F.col("set").alias("sv")), "v")
     two = one.join(sets.select(F.col("key").alias("u"), F.col("set").alias("su")), "u")
     common = two.select("u", "v", ((F.octet_length("su") + F.octet_length("sv")) / 8).cast("bigint").alias("total"), _common(F.col("su"), F.col("sv")).alias("common"))
-    links = scratch.put(common.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("u", "v"), f"{name}_links")
+    links = scratch.put(common.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("u", "v"), f"{name}_links", tasks)
     scratch.drop(f"{name}_sets")
-    scratch.drop(f"{name}_pairs")
     return links
 
 
+def _similar(a: pa.Buffer, b: pa.Buffer, percent: float) -> bool:
+    """Whether two short sets have 100 * intersection >= percent * union."""
+    every = np.concatenate([np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)])
+    every.sort()
+    common = int((every[1:] == every[:-1]).sum())
+    return 100 * common >= percent * (len(every) - common)
+
+
 def _across(members: DataFrame, percent: int, screen: float) -> DataFrame:
-    """Pairs (u, v) of a bucket in different components that may be similar. members: band, blocks, rep, key, n, comp, sig."""
+    """Pairs (u, v) of a bucket in different components that may be similar; a pair that shares several bands comes from the
+    first of them alone. members: band, blocks, key, n, comp, sig, bands (all of the key's, packed), short (its set, 32 bits
+    a shingle). Pairs that pass the signatures are compared by their short sets here, so what comes out grows with the links
+    and not with the pairs; shortening moves a similarity by parts in a million, hence the slack of half a percent."""
     block = F.pmod(F.xxhash64("key"), F.col("blocks"))
     dealt = members.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "rep", "key", "n", "comp", "sig")
+    dealt = dealt.select("band", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "key", "n", "comp", "sig", "bands", "short")
 
     def pairs(rows: pa.Table, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        key, n, comp, i, rep = (rows.column(c).to_numpy() for c in ("key", "n", "comp", "i", "rep"))
+        key, n, comp, i = (rows.column(c).to_numpy() for c in ("key", "n", "comp", "i"))
         p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
         if (comp == comp[0]).all():
             return
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(key), -1)
+        bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.int64).reshape(len(key), -1)
+        short = rows.column("short")
+        own = int(np.flatnonzero(bands[0] == rows.column("band")[0].as_py())[0])
         for x in np.flatnonzero(i == p):
-            other = np.flatnonzero((i == q) & (comp != comp[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent) & (key != rep) & (key[x] != rep))
+            other = np.flatnonzero((i == q) & (comp != comp[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent))
             if p == q:
                 other = other[other > x]
             if len(other):
                 other = other[(sig[other] == sig[x]).mean(axis=1) >= screen]
+                other = other[~(bands[other, :own] == bands[x, :own]).any(axis=1)]
+                other = other[[_similar(short[x].as_buffer(), short[int(y)].as_buffer(), percent - 0.5) for y in other]] if len(other) else other
                 out.append((np.full(len(other), key[x]), key[other]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +230,29 @@ def _across(members: DataFrame, percent: int, screen: float) -> DataFrame:
     return dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q").mapInArrow(run, "u long, v long").distinct()
 
 
+def _packed(bands: Column) -> Column:
+    """An array of numbers as bytes."""
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in arrays:
+            yield pa.array([np.array(x, np.int64).tobytes() for x in a.to_pylist()], pa.binary())
+
+    return by_batch(run, "binary", bands)
+
+
+def _joined(found: DataFrame | None, links: DataFrame, scratch: Scratch, name: str, tasks: int | None = None) -> DataFrame:
+    """Components (node, component) of what was found and the new links; written. Only components that links tie together
+    are worked on again."""
+    if found is None:
+        return scratch.put(connected(links, scratch, f"{name}_stars", tasks), name, tasks)
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    ties = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    tied = scratch.put(connected(ties, scratch, f"{name}_stars", tasks), f"{name}_tied", tasks)
+    moved = found.join(tied.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    moved = moved.select("node", F.coalesce("to", "component").alias("component"))
+    return scratch.put(moved.unionByName(tied.join(found.select("node"), "node", "left_anti")), name, tasks)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 28, rows: int = 4, screen: float = 0.58) -> DataFrame:
     """key, n_shingles, component_id, kept. key is a whole number."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -215,24 +265,57 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     posted = firsts.select(F.explode("bands").alias("band"), "key")
     buckets = posted.groupBy("band").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = scratch.put(posted.join(buckets, "band"), "members")
-    sigs = firsts.select("key", "n", "sig").dropDuplicates(["key"])
+    met = members.select("key").distinct()
+    sigs = firsts.select("key", "n", "sig", _packed(F.col("bands")).alias("bands")).join(met, "key", "left_semi").dropDuplicates(["key"])
+    sigs = scratch.put(sigs, "sigs")
     side = lambda name: sigs.select(F.col("key").alias(name), F.col("n").alias(f"n{name}"), F.col("sig").alias(f"s{name}"))
-    stars = members.where("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v")).distinct()
-    stars = stars.join(side("u"), "u").join(side("v"), "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
-    stars = stars.where(_agreement(F.col("su"), F.col("sv")) >= screen).select("u", "v")
-    links = _confirm(stars, docs, key, text, words, percent, scratch, "star")
-    found = scratch.put(connected(links, scratch, "first"), "found")
 
-    several = members.where("size > 2").select("band", "key", "rep", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    def alike(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+        return met.where(_agreement(F.col("su"), F.col("sv")) >= screen).select("u", "v")
+
+    # Rounds of stars: each document with those least keys of other components that share most bands, until that links
+    # nothing more. Buckets of two are all tried in the first.
+    apart = members.where("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v"), "size").groupBy("u", "v").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("shared"))
+    apart = scratch.put(apart, "apart")
+    # Later tables of pairs are no longer than this one.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, apart.count() // PAIRS_PER_TASK)
+    found, tried, turn = None, None, 0
+    while True:
+        stars = apart
+        if found is not None:
+            comp = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))  # noqa: E731, B023
+            stars = stars.join(comp("u"), "u", "left").join(comp("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
+            stars = stars.join(tried, ["u", "v"], "left_anti")
+        likely = stars.where("size > 2 and shared > 1").groupBy("u").agg(F.array_sort(F.collect_list(F.struct(-F.col("shared"), "v"))).alias("vs"))
+        least = likely.select("u", F.explode(F.slice("vs", 1, 1 if found is None else STARS)).alias("x")).select("u", "x.v")
+        chosen = scratch.put(least.unionByName(stars.where("size = 2").select("u", "v")) if found is None else least, f"chosen{turn}", tasks)
+        if chosen.isEmpty():
+            break
+        links = _confirm(alike(chosen), docs, key, text, words, percent, scratch, f"star{turn}", tasks)
+        tried = chosen if tried is None else tried.unionByName(chosen)
+        if found is not None and links.isEmpty():
+            break
+        found = _joined(found, links, scratch, f"found{turn}", tasks)
+        turn += 1
+
+    # Everything else across components, in the buckets that still hold several.
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], "node long, component long")
+    several = members.where("size > 2").select("band", "key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     several = several.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
     open_ = several.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    several = several.join(open_, "band", "left_semi").join(sigs, "key").select("band", "blocks", "rep", "key", "n", "comp", "sig")
-    more = _confirm(_across(several, percent, screen), docs, key, text, words, percent, scratch, "across")
-    if not more.isEmpty():
-        tied = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        found = scratch.put(connected(tied.unionByName(more), scratch, "second"), "both")
+    several = scratch.put(several.join(open_, "band", "left_semi").select("band", "blocks", "key", "comp"), "several")
+    texts = _marked(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), several.select("key"))
+    short = texts.select("key", _sets(words, F.col("text"), True).alias("short")).dropDuplicates(["key"])
+    several = several.join(sigs, "key").join(short, "key").select("band", "blocks", "key", "n", "comp", "sig", "bands", "short")
+    rest = _across(several, percent, screen)
+    rest = rest if tried is None else rest.join(tried, ["u", "v"], "left_anti")
+    links = _confirm(rest, docs, key, text, words, percent, scratch, "across")
+    if not links.isEmpty():
+        found = _joined(found, links, scratch, "found_all")
     scratch.drop("members")
 
-    of = all_rows.select("key", "n", "digest").join(classes.select("digest", "class"), "digest", "left").withColumn("node", F.coalesce("class", "key"))
+    of = all_rows.select("key", "n", "digest").join(classes.select("digest", "class"), "digest", "left").withColumn("node", F.when(F.col("key").isNotNull(), F.coalesce("class", "key")))
     out = of.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
