@@ -29,7 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MOST_WORDS = 400_000  # words that a task remembers besides the table
+from scorelane.llm.common import by_batch
+
+MOST_WORDS = 250_000  # words that a task remembers besides the table
 LONG = 64  # bytes of a word beyond which merging uses a heap; none such stand in the table
 SHELVES = 1 << 15  # of the rank map
 NONE = (1 << 31) - 1  # no rank
@@ -227,5 +229,4 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
         for a in arrays:
             yield pa.array([None if x is None else b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in a.to_pylist()], pa.binary())
 
-    run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "binary")(ids)
+    return by_batch(run, "binary", ids)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelane.llm.common import Scratch
+from scorelane.llm.common import Scratch, by_batch
 from scorelane.llm.tiles import by_group
 
 # Element names and the parts of names that mark what is not main text.
@@ -371,12 +371,11 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", into: str =
         for htmls, places in batches:
             known: dict[str | None, list[str]] = {}
             out = []
-            for page, place in zip(htmls.to_pylist(), places.to_pylist(), strict=True):
+            for page, place in zip((h.as_py() for h in htmls), places.to_pylist(), strict=True):
                 if place not in known:
                     known[place] = json.loads(place or "[]")
                 text, met = extract_page(page or "", known[place])
                 out.append(text if met else extract_page(page or "", main_places(page_tree(page or "")))[0])
             yield pa.array(out, pa.string())
 
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return rows.withColumn(into, F.arrow_udf(run, "string")(F.col(html), F.col("_places"))).drop(html, "_host", "_places")
+    return rows.withColumn(into, by_batch(run, "string", F.col(html), F.col("_places"))).drop(html, "_host", "_places")

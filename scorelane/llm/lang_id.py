@@ -15,7 +15,7 @@ lang is null teach nothing; repeated rows count as often as they occur; texts ar
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelane.llm.common import by_batch
+
 ALPHABET = 128
 UNKNOWN = "und"
 PIECE = 1 << 20  # letters that are bundled at once
@@ -101,7 +103,7 @@ class Bundler:
         counts = np.bincount(of * len(used) + at[slots], minlength=len(docs) * len(used)).reshape(len(docs), -1)
         return counts.astype(np.float32) @ self.rows[used]
 
-    def vectors(self, texts: list[str | None], at_once: int = 1 << 18) -> Iterator[tuple[int, np.ndarray]]:
+    def vectors(self, texts: Iterable[str | None], at_once: int = 1 << 18) -> Iterator[tuple[int, np.ndarray]]:
         """(index, vector) of each text that has letters, in order; a long text's pieces are summed."""
         held: list[tuple[int, np.ndarray]] = []
         size = 0
@@ -145,7 +147,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
         bundler, total = Bundler(n, dims, seed), {}
         for b in batches:
             names = b.column(0).to_pylist()
-            for i, v in bundler.vectors(b.column(1).to_pylist()):
+            for i, v in bundler.vectors(t.as_py() for t in b.column(1)):
                 if (size := np.linalg.norm(v)) > 0:
                     total[names[i]] = total.get(names[i], 0) + v / size
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "v": pa.array([v.astype(np.float64).tolist() for v in total.values()], pa.list_(pa.float64()))})
@@ -171,12 +173,11 @@ def predict(model: Model, text: Column) -> Column:
         for texts in batches:
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if model.langs:
-                for i, v in bundler.vectors(texts.to_pylist()):
+                for i, v in bundler.vectors(t.as_py() for t in texts):
                     v = v / max(np.linalg.norm(v), 1e-12) - model.mean
                     cosines = model.prototypes @ (v / max(np.linalg.norm(v), 1e-12))
                     best = int(np.argmax(cosines))
                     langs[i], scores[i] = model.langs[best], float(min(1, max(0, cosines[best])))
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<lang:string,score:double>")(text)
+    return by_batch(run, "struct<lang:string,score:double>", text)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MOST_STRETCHES = 600_000
+MOST_STRETCHES = 300_000
 # ASCII and Latin letters up to U+017F whose lower case is one letter.
 PLAIN = "!-~¡-¬®-įı-ňŊ-ſ"
 PLAIN_TEXT, PLAIN_STRETCH = re.compile(f"[ \\n{PLAIN}]*"), re.compile(f"[{PLAIN}]*")
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
         for b in batches:
             types = [f.type for f in b.schema][:-1]
             columns = [b.column(i).to_pylist() for i in range(len(kept))]
-            for i, t in enumerate(b.column(len(kept)).to_pylist()):
+            for i, t in enumerate(x.as_py() for x in b.column(len(kept))):
                 ids, values = encoder.ids(t) + end, tuple(c[i] for c in columns)
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

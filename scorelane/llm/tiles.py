@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+
+from scorelane.llm.common import by_batch
 
 
 def packed(vector: Column) -> Column:
@@ -27,8 +28,7 @@ def packed(vector: Column) -> Column:
                 out.append(v.tobytes() if np.isfinite(v).all() and size > 0 and np.isfinite(size) else None)
             yield pa.array(out, pa.binary())
 
-    run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "binary")(vector)
+    return by_batch(run, "binary", vector)
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:

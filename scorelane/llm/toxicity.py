@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelane.llm.common import by_batch
+
 WORD = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6, 7)
-MOST_WORDS = 500_000  # words that a worker remembers
+MOST_WORDS = 150_000  # words that a worker remembers
 
 
 @dataclass(frozen=True)
@@ -148,11 +150,10 @@ def score(model: Model, text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         terms = _Terms(model.terms)
         for texts in batches:
-            ids = [terms.of(t) for t in texts.to_pylist()]
+            ids = [terms.of(t.as_py()) for t in texts]
             of = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
             flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
             z, _ = _logits(flat, of, len(ids), model.w, model.v, model.bias)
             yield pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))), pa.float64())
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "double")(text)
+    return by_batch(run, "double", text)
