@@ -1,8 +1,8 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 A text's terms are its distinct lower-case words and the first 4 to 7 letters of longer ones, each hashed to 32 bits. Of the
-hashed terms of the labelled sample, the ``active`` ones most associated with the label (chi squared, over the whole sample)
-have weights: logit = bias + sum of w_i + sum over pairs of <v_i, v_j>. The pair term learns combinations, such as an
+hashed terms of the labelled sample, those associated with the label (chi squared, over the whole sample, the ``active``
+greatest at most) have weights: logit = bias + sum of w_i + sum over pairs of <v_i, v_j>. The pair term learns combinations, such as an
 insult beside the mention of a group, that a sum of weights misses. Weights come from AdaGrad steps on the logistic loss.
 
 The sample holds at most ``per_label`` rows of each label, chosen by a hash of the key; the bias then follows the labels'
@@ -28,6 +28,7 @@ from scorelane.llm.common import by_batch
 
 WORD = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6, 7)
+LEAST_CHI = 10.83  # of active terms: by chance one term in a thousand gets there
 MOST_WORDS = 150_000  # words that a worker remembers
 
 
@@ -98,8 +99,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             return Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros((0, factors)), -50.0)
         seen = rows.mapInArrow(counts, "term long, pos long, n long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
         apart = F.col("pos") * float(n) - F.col("n") * float(n1)
-        chi = apart * apart / (F.col("n") * (float(n) - F.col("n") + 1e-9) * float(n1) * float(n - n1))
-        best = seen.where("n >= 3").withColumn("chi", chi).orderBy(F.desc("chi"), "term").limit(active).select("term").collect()
+        chi = apart * apart * float(n) / (F.col("n") * (float(n) - F.col("n") + 1e-9) * float(n1) * float(n - n1))
+        best = seen.where("n >= 3").withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(active).select("term").collect()
         chosen = np.sort(np.array([r[0] for r in best], np.uint32))
         got = rows.mapInArrow(places, "y int, ids binary").collect()
     finally:
