@@ -16,8 +16,9 @@ from scorelane.llm.common import Scratch, table
 from scorelane.llm.queries import language_model, toxicity_model
 
 MOST_TOXIC = 0.5  # documents with this score or more go
-LEAST_LANGUAGE = 0.05  # longer documents whose text is nearer to no language than this go
-LONG = 200  # code points
+LANGUAGE_DIMS = 2048  # at 512 the scores of random letters reach those of clean documents
+LEAST_LANGUAGE = 0.16  # documents of many words that are nearer to no language than this go; random letters score 0.113 at most
+LONG = 200  # code points of distinct words
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +28,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that have no letter, or are long and like no language; a missing lang is filled in."""
-    found = docs.withColumn("_p", lang_id.predict(language_model(docs), F.col("text")))
-    odd = (F.col("_p.lang") == lang_id.UNKNOWN) | ((F.length("text") >= LONG) & (F.col("_p.score") < LEAST_LANGUAGE))
+    """Without the documents that have no letter, or are long and like no language; a missing lang is filled in. Repeated words
+    count once, else a word that stands everywhere in a text is all that is compared."""
+    words = docs.withColumn("_words", F.array_join(F.array_distinct(F.split("text", r"\s+")), " "))
+    found = words.withColumn("_p", lang_id.predict(language_model(docs, LANGUAGE_DIMS), F.col("_words")))
+    odd = (F.col("_p.lang") == lang_id.UNKNOWN) | ((F.length("_words") >= LONG) & (F.col("_p.score") < LEAST_LANGUAGE))
     return found.where(~odd).withColumn("lang", F.coalesce("lang", "_p.lang")).select(docs.columns)
 
 

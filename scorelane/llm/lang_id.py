@@ -29,7 +29,7 @@ from scorelane.llm.common import by_batch
 ALPHABET = 128
 UNKNOWN = "und"
 PIECE = 1 << 20  # letters that are bundled at once
-MOST_ROWS = 40_000  # n-gram vectors that a worker keeps
+MOST_VALUES = 40_000 * 512  # of the n-gram vectors that a worker keeps
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,7 @@ class Bundler:
         """A row for each array of n-gram numbers."""
         every = np.concatenate(docs)
         of = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
-        if len(self.rows) > MOST_ROWS:
+        if self.rows.size > MOST_VALUES:
             self._reset()
         if len(new := np.unique(every[self.slot[every] < 0])):
             made, rest = 1, new

@@ -112,9 +112,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(crc_of_id("doc_id") % 5 == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def language_model(docs: DataFrame) -> lang_id.Model:
+def language_model(docs: DataFrame, dims: int = 512) -> lang_id.Model:
     """Learnt from the documents of which crc32(doc_id) mod 3 is not 1."""
-    return lang_id.learn(docs.where(crc_of_id("doc_id") % 3 != 1))
+    return lang_id.learn(docs.where(crc_of_id("doc_id") % 3 != 1), dims=dims)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

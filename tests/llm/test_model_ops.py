@@ -263,6 +263,25 @@ def test_pipeline_stages(spark, data, tmp_path):
     assert {r["doc_id"] for r in rows.collect()} == set(kept["secrets"])
 
 
+STRANGE = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin.",
+    "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu. Mọi người đều được hưởng tất cả những quyền và tự do nêu trong bản tuyên ngôn này.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej Deklaracji.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. Каждый человек должен обладать всеми правами и всеми свободами, провозглашенными настоящей Декларацией.",
+]
+
+
+def test_language_stage_parts_gibberish_and_unlearned_languages_from_clean_documents(spark):
+    random.seed(8)
+    noise = ["".join(random.choice(letters) for _ in range(size)) for letters in ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz     ", "абвгдежзийклмнопрстуфхцчшщъыьэюя") for size in (300, 800, 3000) for _ in range(30)]
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    extra = [(900_000 + i, t, None, "s", len(t)) for i, t in enumerate([*noise, *STRANGE])]
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs.unionByName(spark.createDataFrame(extra, docs.schema)), data).collect()}
+    assert [i for i in kept if i >= 900_000] == []
+    assert kept == {r["doc_id"] for r in docs.collect()}
+
+
 def test_pipeline_runs_on_no_rows(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").where("false")
     for name, stage in corpus_pipeline.STAGES:
