@@ -44,9 +44,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; secrets that one owner alone holds are cut out of their texts. Widely copied examples stay."""
-    found = Scratch(spark, "pipeline-secrets").put(secret_scan.find_candidates(docs.select("doc_id", "source", "text")), "found")
-    live = secret_scan.scan_secrets(found.where("doc_id is not null")).where(F.size("live") > 0).select("doc_id", "live")
+    """All documents; secrets that look live are cut out of their texts. Widely copied examples stay."""
+    asked = docs.select("doc_id", "source", "text", F.sha2("text", 256).alias("copy"))
+    found = Scratch(spark, "pipeline-secrets").put(secret_scan.find_candidates(asked), "found")
+    live = secret_scan.scan_secrets(found.where("doc_id is not null"), repo="copy", live_repos=secret_scan.FAMILY).where(F.size("live") > 0).select("doc_id", "live")
     none = F.array().cast(secret_scan.SPAN)
     known = docs.where("doc_id is not null").join(live, "doc_id", "left").withColumn("live", F.coalesce("live", none))
     unknown = secret_scan.find_candidates(docs.where("doc_id is null").withColumn("_text", F.col("text"))).drop("loose")

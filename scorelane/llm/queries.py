@@ -72,9 +72,9 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.sha2("text", 256).alias("copy"))
     found = Scratch(spark, "secrets").put(secret_scan.find_candidates(docs), "found")
-    out = secret_scan.scan_secrets(found)
+    out = secret_scan.scan_secrets(found, repo="copy", live_repos=secret_scan.FAMILY)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select(
         "doc_id",

@@ -2,8 +2,9 @@ r"""Secret scanning with corpus-wide ownership frequency, in DataFrame functions
 
 Base kinds are found leftmost and without overlap within a kind, in code points, end exclusive: ``assign``, ``access`` and
 ``hex``. Besides, unlabelled mixed tokens are candidates. Every candidate's hash is counted over distinct repositories and
-distinct owners of the whole corpus; a value that several owners hold is a widely copied example, a value that one owner
-alone holds looks live. An unlabelled candidate that looks live, and does not touch a base span, becomes a span of kind
+distinct owners of the whole corpus; a value that several owners hold, in clearly more repositories than the copies of one
+document give, is a widely copied example; all others look live. Where identical documents are to count once, the repository is
+a digest of the text. An unlabelled candidate that looks live, and does not touch a base span, becomes a span of kind
 ``owned``. Base spans stay whatever their counts.
 
 Positions come from the pieces between matches, so no text is scanned row by row outside the JVM. Hot values are
@@ -25,6 +26,7 @@ KINDS = {
     "hex": r"[0-9a-f]{32,}",
 }
 LEAST_ASSIGN = 8
+FAMILY = 8  # distinct texts that near copies of one document may give
 LOOSE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}"
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
 
@@ -62,20 +64,20 @@ def ownership(found: DataFrame, owner: str, repo: str) -> DataFrame:
     """value_hash, n_repos, n_owners over all candidates of the corpus."""
     hits = found.select(F.col(owner).alias("_owner"), F.col(repo).alias("_repo"), F.explode(F.concat("base", "loose")).alias("_s"))
     hits = hits.select(F.sha2(F.col("_s.value"), 256).alias("value_hash"), "_owner", "_repo").distinct()
-    held = hits.groupBy("value_hash", "_owner").agg(F.count(F.lit(1)).alias("_n"))
-    return held.groupBy("value_hash").agg(F.sum("_n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
+    apart = lambda c: F.count_distinct(F.struct(c))  # noqa: E731  (a struct, so that null counts)
+    return hits.groupBy("value_hash").agg(apart("_repo").alias("n_repos"), apart("_owner").alias("n_owners"))
 
 
-def scan_secrets(found: DataFrame, key: str = "doc_id", owner: str = "source", repo: str = "doc_id", live_owners: int = 1) -> DataFrame:
+def scan_secrets(found: DataFrame, key: str = "doc_id", owner: str = "source", repo: str = "doc_id", live_owners: int = 1, live_repos: int = 1) -> DataFrame:
     """key, base, added, live: all spans of each row of ``find_candidates`` (read twice: write it first). key is unique.
 
-    added holds the unlabelled candidates that at most live_owners owners hold; live those base spans and added ones of
-    which that is true.
+    added holds the unlabelled candidates that at most live_owners owners or at most live_repos repositories hold; live those
+    base spans and added ones of which that is true.
     """
     held = ownership(found, owner, repo)
     hits = found.select(F.col(key).alias("_key"), F.explode(F.concat("base", "loose")).alias("_s"))
     hits = hits.withColumn("value_hash", F.sha2(F.col("_s.value"), 256)).join(held, "value_hash")
-    live = hits.where(F.col("n_owners") <= live_owners).groupBy("_key").agg(F.array_sort(F.collect_list("_s")).alias("live"))
+    live = hits.where((F.col("n_owners") <= live_owners) | (F.col("n_repos") <= live_repos)).groupBy("_key").agg(F.array_sort(F.collect_list("_s")).alias("live"))
     none = F.array().cast(SPAN)
     rows = found.select(F.col(key).alias("_key"), "base").join(live, "_key", "left").withColumn("live", F.coalesce("live", none))
     return rows.select(F.col("_key").alias(key), "base", F.filter("live", lambda s: s["kind"] == "owned").alias("added"), "live")

@@ -178,6 +178,15 @@ def test_ownership_separates_copied_examples_from_live_values(spark):
     assert dict(map(tuple, cut.collect())) == {1: "[secret]", 2: "x [secret] y", 3: f"secret={shared}", 4: f"secret={shared}", 5: "see [secret]", 6: None}
 
 
+def test_copies_of_one_document_do_not_make_an_example(spark, tmp_path):
+    copied, shared, loose = "Zk39fjqLwe82", "example-key-1", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8"
+    rows = [(i, f"s{i}", f"token={copied} see {loose}") for i in range(30)] + [(100 + i, f"s{i % 4}", f"text {i} secret={shared}") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op9_secret_scan"](spark, str(tmp_path)).collect()}
+    assert all(got[i]["n_live"] == 2 and "owned" in got[i]["spans"] for i in range(30))
+    assert all(got[100 + i]["n_live"] == 0 and got[100 + i]["n_assign"] == 1 for i in range(30))
+
+
 def test_redact_overlapping_spans(spark):
     df = spark.createDataFrame([("0123456789", [(1, 0, 4, "a", ""), (2, 1, 6, "b", ""), (8, 0, 9, "a", "")])], f"t string, s {secret_scan.SPAN}")
     assert df.select(secret_scan.redact(F.col("t"), F.col("s"))).first()[0] == "0[secret]67[secret]9"
