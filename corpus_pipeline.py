@@ -45,14 +45,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets that look live are cut out of their texts. Widely copied examples stay."""
-    asked = docs.select("doc_id", "source", "text", F.sha2("text", 256).alias("copy"))
+    asked = docs.withColumns({"_text": F.col("text"), "_copy": F.sha2("text", 256)})
     found = Scratch(spark, "pipeline-secrets").put(secret_scan.find_candidates(asked), "found")
-    live = secret_scan.scan_secrets(found.where("doc_id is not null"), repo="copy", live_repos=secret_scan.FAMILY).where(F.size("live") > 0).select("doc_id", "live")
-    none = F.array().cast(secret_scan.SPAN)
-    known = docs.where("doc_id is not null").join(live, "doc_id", "left").withColumn("live", F.coalesce("live", none))
-    unknown = secret_scan.find_candidates(docs.where("doc_id is null").withColumn("_text", F.col("text"))).drop("loose")
-    unknown = unknown.withColumnsRenamed({"_text": "text", "base": "live"})
-    cut = known.unionByName(unknown).withColumn("_n", F.size("live")).withColumn("text", secret_scan.redact(F.col("text"), F.col("live")))
+    live = secret_scan.scan_secrets(found, key="_row", repo="_copy", live_repos=secret_scan.FAMILY).where(F.size("live") > 0).select("_row", "live")
+    rows = found.join(live, "_row", "left").withColumn("live", F.coalesce("live", F.array().cast(secret_scan.SPAN)))
+    cut = rows.withColumn("_n", F.size("live")).withColumn("text", secret_scan.redact(F.col("_text"), F.col("live")))
     return cut.withColumn("n_chars", F.when(F.col("_n") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -52,12 +52,13 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int | None =
 
 
 def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without its text, plus base (spans of the base kinds) and loose (unlabelled candidates off the base spans)."""
+    """docs without its text, plus base (spans of the base kinds), loose (unlabelled candidates off the base spans) and _row, a
+    number of each row, which holds once the result is written."""
     whole = F.coalesce(F.col(text), F.lit(""))
     kinds = [_spans(whole, kind, i, pattern, 2 if kind == "assign" else None) for i, (kind, pattern) in enumerate(KINDS.items())]
     found = docs.withColumns({"_base": F.array_sort(F.concat(*kinds)), "_loose": _spans(whole, "owned", len(KINDS), LOOSE)}).drop(text)
     apart = F.filter("_loose", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.select(*[c for c in docs.columns if c != text], F.col("_base").alias("base"), apart.alias("loose"))
+    return found.select(*[c for c in docs.columns if c != text], F.col("_base").alias("base"), apart.alias("loose"), F.monotonically_increasing_id().alias("_row"))
 
 
 def ownership(found: DataFrame, owner: str, repo: str) -> DataFrame:
@@ -69,17 +70,17 @@ def ownership(found: DataFrame, owner: str, repo: str) -> DataFrame:
 
 
 def scan_secrets(found: DataFrame, key: str = "doc_id", owner: str = "source", repo: str = "doc_id", live_owners: int = 1, live_repos: int = 1) -> DataFrame:
-    """key, base, added, live: all spans of each row of ``find_candidates`` (read twice: write it first). key is unique.
+    """key, base, added, live: all spans of each row of ``find_candidates`` (read twice: write it first, which also settles its _row).
 
     added holds the unlabelled candidates that at most live_owners owners or at most live_repos repositories hold; live those
     base spans and added ones of which that is true.
     """
     held = ownership(found, owner, repo)
-    hits = found.select(F.col(key).alias("_key"), F.explode(F.concat("base", "loose")).alias("_s"))
+    hits = found.select("_row", F.explode(F.concat("base", "loose")).alias("_s"))
     hits = hits.withColumn("value_hash", F.sha2(F.col("_s.value"), 256)).join(held, "value_hash")
-    live = hits.where((F.col("n_owners") <= live_owners) | (F.col("n_repos") <= live_repos)).groupBy("_key").agg(F.array_sort(F.collect_list("_s")).alias("live"))
+    live = hits.where((F.col("n_owners") <= live_owners) | (F.col("n_repos") <= live_repos)).groupBy("_row").agg(F.array_sort(F.collect_list("_s")).alias("live"))
     none = F.array().cast(SPAN)
-    rows = found.select(F.col(key).alias("_key"), "base").join(live, "_key", "left").withColumn("live", F.coalesce("live", none))
+    rows = found.select("_row", F.col(key).alias("_key"), "base").join(live, "_row", "left").withColumn("live", F.coalesce("live", none))
     return rows.select(F.col("_key").alias(key), "base", F.filter("live", lambda s: s["kind"] == "owned").alias("added"), "live")
 
 

@@ -17,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from scorelane.llm import bpe, chat, html_wrapper, packing, queries, secret_scan
 from scorelane.llm.common import Scratch
 
@@ -187,6 +188,18 @@ def test_copies_of_one_document_do_not_make_an_example(spark, tmp_path):
     assert all(got[100 + i]["n_live"] == 0 and got[100 + i]["n_assign"] == 1 for i in range(30))
 
 
+def test_rows_with_null_and_repeated_ids_keep_their_own_secrets(spark, tmp_path):
+    loose = ["Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8", "Qr1St2Uv3Wx4Yz5Ab6Cd7Ef8", "Gh1Ij2Kl3Mn4Op5Qr6St7Uv8", "Wx1Yz2Ab3Cd4Ef5Gh6Ij7Kl8"]
+    rows = [(None, "a", f"see {loose[0]}", "en", 1), (None, None, f"and see {loose[1]}", "en", 1), (7, "b", f"or {loose[2]}", "en", 1), (7, "b", f"or else {loose[3]}", "en", 1), (7, "b", f"or else {loose[3]}", "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op9_secret_scan"](spark, str(tmp_path)).collect()
+    assert sorted(r["spans"] for r in got) == ["owned:3:27", "owned:4:28", "owned:8:32", "owned:8:32", "owned:8:32"] and all(r["n_live"] == 1 for r in got)
+    cut = corpus_pipeline.secret_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(r["text"] for r in cut) == ["and see [secret]", "or [secret]", "or else [secret]", "or else [secret]", "see [secret]"]
+
+
 def test_redact_overlapping_spans(spark):
     df = spark.createDataFrame([("0123456789", [(1, 0, 4, "a", ""), (2, 1, 6, "b", ""), (8, 0, 9, "a", "")])], f"t string, s {secret_scan.SPAN}")
     assert df.select(secret_scan.redact(F.col("t"), F.col("s"))).first()[0] == "0[secret]67[secret]9"
