@@ -37,10 +37,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least doc_id."""
-    kept = minhash.near_duplicates(docs.where("doc_id is not null").select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    unique = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return unique.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One document of each group of near copies: the one with the least doc_id, null ids being greatest. Rows of the same
+    doc_id and text are copies, rows of the same doc_id and another text are not."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = minhash.near_duplicates(keyed.select("_key", "text"), key="_key").select("_key", "component_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("_least")
+    kept = found.join(keyed.select("_key", "doc_id").distinct(), "_key").groupBy("component_id").agg(least).select("_least._key")
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

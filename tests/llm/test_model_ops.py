@@ -263,6 +263,18 @@ def test_pipeline_stages(spark, data, tmp_path):
     assert {r["doc_id"] for r in rows.collect()} == set(kept["secrets"])
 
 
+def test_near_duplicate_stage_drops_near_copies_only(spark, data, tmp_path):
+    random.seed(4)
+    a, b, c, d = (" ".join(f"w{random.randint(0, 999)}" for _ in range(60)) for _ in range(4))
+    rows = [(7, a), (7, b), (7, b), (9, a), (3, a + " more"), (None, c), (None, c), (None, c + " more"), (None, d), (8, d), (None, "12 words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/in")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{tmp_path}/in"), data).collect()]
+    of_c = [x for x in got if x[0] is None and x[1].startswith(c)]
+    assert len(of_c) == 1
+    assert sorted((x for x in got if x not in of_c), key=str) == sorted([(7, b), (3, a + " more"), (8, d), (None, "12 words")], key=str)
+
+
 STRANGE = [
     "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin.",
     "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu. Mọi người đều được hưởng tất cả những quyền và tự do nêu trong bản tuyên ngôn này.",
