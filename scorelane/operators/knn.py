@@ -61,8 +61,8 @@ def _bounds(block: DataFrame, refs: DataFrame, n: int, names: Sequence[str], qid
     met = some.crossJoin(F.broadcast(q))
     if not_self:
         met = met.where(F.col(not_self) != F.col("qid"))
-    best = _nearest(met.select("qid", _distance(q, some, names).alias("dist")), k, F.col("dist"))
-    return best.groupBy("qid").agg(F.when(F.count(F.lit(1)) == k, F.max("dist")).alias("bound"))
+    best = _nearest(met.select("qid", _distance(q, some, names).alias("dist")), k, F.col("dist").asc_nulls_last())
+    return best.groupBy("qid").agg(F.when(F.count("dist") == k, F.max("dist")).alias("bound"))
 
 
 def brute(queries: DataFrame, refs: DataFrame, names: Sequence[str], qid: str = "qid", k: int = 5, not_self: str | None = None) -> DataFrame:
@@ -82,7 +82,7 @@ def brute(queries: DataFrame, refs: DataFrame, names: Sequence[str], qid: str =
         return pairs.where(F.col("bound").isNull() | (F.col("dist") <= F.col("bound"))).drop("bound")
 
     pairs = reduce(DataFrame.unionByName, [part(b) for b in _blocks(queries, qid, total)])
-    return _nearest(pairs, k, F.col("dist"), F.col("pos")).select("qid", "rank", "ref_id", "pos", "is_fraud", "dist")
+    return _nearest(pairs, k, F.col("dist").asc_nulls_last(), F.col("pos")).select("qid", "rank", "ref_id", "pos", "is_fraud", "dist")
 
 
 def single(query: DataFrame, refs: DataFrame, names: Sequence[str], qid: str = "qid", k: int = 5, not_self: str | None = None) -> DataFrame:

@@ -99,3 +99,11 @@ def test_distance_stays_in_generated_code_and_k_is_cut_before_the_shuffle(spark)
     asked, table = ask(spark, (0.0, 0.0)), refs(spark, [(0, 0, 0, 0.0, 0.0, True)])
     plan = knn.brute(asked, table, NAMES)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_null_vectors_rank_last(spark):
+    refs = spark.createDataFrame([(i, i, False, float(i) if i >= 8 else None) for i in range(40)], "ref_id long, pos long, is_fraud boolean, v0 double")
+    asked = spark.createDataFrame([(100, 7.5)], "qid long, v0 double")
+    assert [r["ref_id"] for r in knn.brute(asked, refs, ["v0"]).orderBy("rank").collect()] == [8, 9, 10, 11, 12]
+    few = refs.where("ref_id < 10")
+    assert [r["ref_id"] for r in knn.brute(asked, few, ["v0"]).orderBy("rank").collect()] == [8, 9, 0, 1, 2]
