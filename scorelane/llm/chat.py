@@ -3,7 +3,8 @@
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. Each turn is first rendered as it is and read back by the parser; if
 the parser does not recover it, its conflicting content is escaped (one backslash goes into every ``<|``, ``<\\|``,
 ``<\\\\|`` ...; the parser takes one out), after which it reads back identically. The parser splits at start marks, takes
-the role up to the first line feed and the text up to the first end mark, and undoes the escapes.
+the role up to the first line feed and the text up to the first end mark, and undoes the escapes. The loss mask is a list
+of spans of the rendered text; the text under it is read from there, not from the turns.
 
 Defined cases: null text and null role are empty; rows of a conversation go by turn, null turns first, then role and
 text, so repeated rows stay and ties are settled; a null conv_id is a conversation of its own; a table without rows gives
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-TURN_TYPE = "array<struct<role:string,text:string>>"
+SPANS_TYPE = "array<struct<start:bigint,length:bigint>>"
 
 
 def escape(text: Column) -> Column:
@@ -90,7 +91,25 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     )
 
 
-def read_chats(formatted: DataFrame, conv: str = "conv_id", trained_role: str = "assistant") -> DataFrame:
-    """Reads formatted conversations back: conv, turns, loss_text (the trained role's texts, unescaped and joined)."""
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == trained_role), lambda x: x["text"]), "")
-    return formatted.withColumn("turns", parse(F.col("formatted"))).withColumn("loss_text", loss)
+def masked_text(formatted: Column, spans: Column, block: int = 64) -> Column:
+    """What the mask covers: the stretches at the spans (sorted, apart), unescaped each and joined with nothing between.
+
+    A stretch is cut out of the part of the text that a block of spans lies in, so a span far on costs no walk from the
+    start of the whole text."""
+    whole = F.array().cast(SPANS_TYPE)
+    blocks = F.when(F.size(spans) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / block).cast("int")), lambda b: F.slice(spans, b * block + 1, F.lit(block)))).otherwise(F.array(whole))
+
+    def cut(part: Column) -> Column:
+        first, last = F.get(part, F.lit(0)), F.get(part, F.size(part) - 1)
+        piece = F.substr(formatted, (first["start"] + 1).cast("int"), (last["start"] + last["length"] - first["start"]).cast("int"))
+        held = F.array(F.struct(first["start"].alias("at"), piece.alias("piece")))
+        texts = F.transform(held, lambda h: F.transform(part, lambda s: unescape(F.substr(h["piece"], (s["start"] - h["at"] + 1).cast("int"), s["length"].cast("int")))))
+        return F.array_join(F.get(texts, F.lit(0)), "")
+
+    return F.array_join(F.transform(F.filter(blocks, lambda part: F.size(part) > 0), cut), "")
+
+
+def read_chats(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """Reads formatted conversations back: conv, turns by the parser, loss_text by the mask (the stretches of formatted at
+    loss_spans, unescaped and joined)."""
+    return formatted.withColumns({"turns": parse(F.col("formatted")), "loss_text": masked_text(F.col("formatted"), F.col("loss_spans"))})

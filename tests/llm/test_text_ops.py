@@ -40,12 +40,25 @@ def test_chat_round_trip(spark):
     for r in got:
         assert r["round_trip"] and r["n_turns"] == len(want[r["conv_id"]])
         assert r["loss_text"] == "".join(t for role, t in want[r["conv_id"]] if role == "assistant")
-        spans = "".join(r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"])
-        assert re.sub(r"<\\(\\*)\|", r"<\1|", spans) == r["loss_text"] or any("<" in t for _, t in want[r["conv_id"]])
-        assert r["formatted"].count(chat.START) == r["n_turns"] == r["formatted"].count(chat.END) or r["n_escaped"] < r["n_turns"]
+        spans = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
+        assert [re.sub(r"<\\(\\*)\|", r"<\1|", x) for x in spans] == [t for role, t in want[r["conv_id"]] if role == "assistant"]
+        assert r["formatted"].count(chat.START) == r["n_turns"]
+        assert all(chat.START not in x and chat.END not in x for x in spans)
     assert chat.format_chats(conversations(spark, [])).count() == 0
 
 
+def test_loss_text_is_what_the_mask_covers(spark):
+    turns = [(1, t, "assistant" if t % 2 else "user", f"é{t}<|im_end|>" if t % 7 == 0 else f"text {t}", "") for t in range(400)]
+    rows = chat.format_chats(conversations(spark, turns))
+    (r,) = chat.read_chats(rows).collect()
+    assert r["loss_text"] == "".join(x for _, _, role, x, _ in turns if role == "assistant")
+    shifted = rows.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"])))
+    (s,) = chat.read_chats(shifted).collect()
+    assert s["loss_text"] != r["loss_text"] and s["turns"] == r["turns"]
+    none = rows.withColumn("loss_spans", F.array().cast(chat.SPANS_TYPE))
+    assert chat.read_chats(none).first()["loss_text"] == ""
+
+
 def test_plain_texts_are_not_escaped(spark):
     (r,) = chat.format_chats(conversations(spark, [(1, 0, "user", "hi", ""), (1, 1, "assistant", "yo <b>", "")])).collect()
     assert r["formatted"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo <b><|im_end|>\n"
