@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelane.llm.arrays import blocks, let
+
 START, END = "<|im_start|>", "<|im_end|>"
 SPANS_TYPE = "array<struct<start:bigint,length:bigint>>"
 
@@ -91,22 +93,19 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     )
 
 
-def masked_text(formatted: Column, spans: Column, block: int = 64) -> Column:
+def masked_text(formatted: Column, spans: Column) -> Column:
     """What the mask covers: the stretches at the spans (sorted, apart), unescaped each and joined with nothing between.
 
     A stretch is cut out of the part of the text that a block of spans lies in, so a span far on costs no walk from the
     start of the whole text."""
-    whole = F.array().cast(SPANS_TYPE)
-    blocks = F.when(F.size(spans) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / block).cast("int")), lambda b: F.slice(spans, b * block + 1, F.lit(block)))).otherwise(F.array(whole))
 
     def cut(part: Column) -> Column:
         first, last = F.get(part, F.lit(0)), F.get(part, F.size(part) - 1)
         piece = F.substr(formatted, (first["start"] + 1).cast("int"), (last["start"] + last["length"] - first["start"]).cast("int"))
-        held = F.array(F.struct(first["start"].alias("at"), piece.alias("piece")))
-        texts = F.transform(held, lambda h: F.transform(part, lambda s: unescape(F.substr(h["piece"], (s["start"] - h["at"] + 1).cast("int"), s["length"].cast("int")))))
-        return F.array_join(F.get(texts, F.lit(0)), "")
+        texts = lambda h: F.transform(part, lambda s: unescape(F.substr(h["piece"], (s["start"] - h["at"] + 1).cast("int"), s["length"].cast("int"))))
+        return F.array_join(let(F.struct(first["start"].alias("at"), piece.alias("piece")), texts), "")
 
-    return F.array_join(F.transform(F.filter(blocks, lambda part: F.size(part) > 0), cut), "")
+    return F.array_join(F.transform(blocks(spans), cut), "")
 
 
 def read_chats(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:

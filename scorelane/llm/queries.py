@@ -72,19 +72,54 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.sha2("text", 256).alias("copy"))
-    found = Scratch(spark, "secrets").put(secret_scan.find_candidates(docs), "found")
-    out = secret_scan.scan_secrets(found, repo="copy", live_repos=secret_scan.FAMILY)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = Scratch(spark, "secrets").put(secret_scan.find_candidates(docs, repo=F.sha2("text", 256), keep=["doc_id"]), "found")
+    out = secret_scan.scan_secrets(found, live_repos=secret_scan.FAMILY)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select(
-        "doc_id",
+        F.col("doc.doc_id").alias("doc_id"),
         *[count(kind) for kind in secret_scan.KINDS],
         F.sha2(secret_scan.spans_text(F.col("base")), 256).alias("base_sha256"),
-        secret_scan.spans_text(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        secret_scan.spans_text(F.sort_array(F.concat("base", "added"))).alias("spans"),
         F.size("live").cast("long").alias("n_live"),
     )
 
 
+# Positions are running sums of the pieces between matches and the matches. Values held by one source, or in at most 8 texts, look live.
+OP9_SQL = r"""
+with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text from documents),
+found as (
+  select r, 'assign' as kind, 0 as rank, {split_assign} as gaps, {hits_assign} as hits, {values_assign} as vals from d where regexp_matches(text, '{assign}')
+  union all select r, 'access', 1, string_split_regex(text, '{access}'), regexp_extract_all(text, '{access}'), regexp_extract_all(text, '{access}') from d where regexp_matches(text, '{access}')
+  union all select r, 'hex', 2, string_split_regex(text, '{hex}'), regexp_extract_all(text, '{hex}'), regexp_extract_all(text, '{hex}') from d where regexp_matches(text, '{hex}')
+), parts as (select r, kind, rank, generate_subscripts(gaps, 1) as i, unnest(gaps) as gap, unnest(list_resize(hits, len(gaps))) as hit, unnest(list_resize(vals, len(gaps))) as val from found),
+masked as (select r, string_agg(gap || case when length(val) >= 8 then repeat(chr(65535), length(hit)) else coalesce(hit, '') end, '' order by i) as text from parts where kind = 'assign' group by r),
+seen as (select d.r, coalesce(m.text, d.text) as text from d left join masked m using (r)),
+loose as (select r, 'owned' as kind, 3 as rank, string_split_regex(text, '{loose}') as gaps, regexp_extract_all(text, '{loose}') as hits from seen where regexp_matches(text, '{loose}')),
+every as (select * from parts union all select r, kind, rank, generate_subscripts(gaps, 1), unnest(gaps), unnest(list_resize(hits, len(gaps))), unnest(list_resize(hits, len(gaps))) from loose),
+placed as (select *, sum(length(gap) + coalesce(length(hit), 0)) over (partition by r, rank order by i) as stop from every),
+spans as (select r, kind, rank, (stop - length(hit))::bigint as start, stop::bigint as stop, val from placed where hit is not null and case kind when 'assign' then length(val) >= 8
+  when 'owned' then regexp_matches(val, '[A-Za-z]') and regexp_matches(val, '[0-9]') and not regexp_matches(val, chr(65535) || '|{access}|{hex}') else true end),
+held as (select val, count(distinct struct_pack(s := source)) as owners, count(distinct text) as repos from spans join d using (r) group by val),
+alive as (select s.*, owners <= 1 or repos <= 8 as live from spans s join held using (val)),
+said as (select r, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (where kind <> 'owned') as base,
+  string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (where kind <> 'owned' or live) as spans, count(*) filter (where live) as n_live from alive group by r)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live
+from d left join said using (r)
+"""
+
+
+def _op9_sql() -> str:
+    quoted = {kind: pattern.replace("'", "''") for kind, pattern in secret_scan.KINDS.items()}
+    at = quoted["assign"]
+    made = {"split_assign": f"string_split_regex(text, '{at}')", "hits_assign": f"regexp_extract_all(text, '{at}')", "values_assign": f"regexp_extract_all(text, '{at}', 2)"}
+    out = OP9_SQL
+    for name, value in {**quoted, **made, "loose": secret_scan.LOOSE}.items():
+        out = out.replace("{" + name + "}", value)
+    return out
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -135,4 +170,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
+SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op9_secret_scan": _op9_sql()}
