@@ -48,12 +48,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets that look live are cut out of their texts. Widely copied examples stay."""
-    asked = docs.withColumns({"_text": F.col("text"), "_copy": F.sha2("text", 256)})
-    found = Scratch(spark, "pipeline-secrets").put(secret_scan.find_candidates(asked), "found")
-    live = secret_scan.scan_secrets(found, key="_row", repo="_copy", live_repos=secret_scan.FAMILY).where(F.size("live") > 0).select("_row", "live")
-    rows = found.join(live, "_row", "left").withColumn("live", F.coalesce("live", F.array().cast(secret_scan.SPAN)))
-    cut = rows.withColumn("_n", F.size("live")).withColumn("text", secret_scan.redact(F.col("_text"), F.col("live")))
-    return cut.withColumn("n_chars", F.when(F.col("_n") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+    found = Scratch(spark, "pipeline-secrets").put(secret_scan.find_candidates(docs, repo=F.sha2("text", 256), keep=docs.columns), "found")
+    scanned = secret_scan.scan_secrets(found, live_repos=secret_scan.FAMILY)
+    text = secret_scan.redact(F.col("doc.text"), F.col("live"))
+    cut = scanned.select("doc", F.when(F.size("live") > 0, F.struct(text.alias("text"))).alias("cut"))
+    changed = {"text": F.col("cut.text"), "n_chars": F.length("cut.text").cast(docs.schema["n_chars"].dataType)}
+    return cut.select(*[F.when(F.col("cut").isNotNull(), changed[c]).otherwise(F.col("doc")[c]).alias(c) if c in changed else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
