@@ -1,20 +1,25 @@
 """Bounded-space online best-fit packing of tokenized documents into sequences.
 
-Each task tokenizes its documents and packs their pieces as they come, so nothing is shuffled and a task's memory is bounded.
-``open_bins`` sequences are open at most. They stand in a bitset keyed by free space, so the tightest one that fits is one
-bit operation away; if none fits and all are open, the fullest closes first. At the end of a task its open bins are packed
-once more, longest piece first. What a task loses is under one sequence, besides what best-fit leaves.
-
-Token ids come from the tokenizer's file. Texts are cut at spaces and line feeds, which never join what stands around them,
-and the ids of a stretch between them are remembered: first as it stands, then by lower-case piece; what is outside the plain
-range goes to the tokenizer as it is. Remembered stretches are bounded.
+Each task tokenizes its documents and packs their pieces as they come. ``open_bins`` sequences are open at most. They stand in
+a bitset keyed by free space, so the tightest one that fits is one bit operation away; if none fits and all are open, the
+fullest closes first. What a task's bins hold when its documents end is left over. The left-over pieces of all tasks are dealt
+into groups of about ``group`` sequences and packed by the same best fit, longest first, each group in one task: so tasks of
+few documents lose nothing to each other, and a group loses under one sequence. Memory of a task is bounded by open_bins or
+group sequences. The pieces are written once in between, so no text is tokenized twice.
+
+Token ids are those of the tokenizers library, ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``: the
+strings of added tokens that stand in a text become their ids. If the file has the settings below, texts without added tokens
+are cut at spaces and line feeds, which never join what stands around them, and the ids of a stretch between them are
+remembered: first as it stands, then by lower-case piece; what is outside the plain range goes to the tokenizer as it is.
+Remembered stretches are bounded. With any other settings every text goes to the tokenizer as it is.
 
 Defined cases: null and empty texts have the end id alone; null keys stay; repeated rows are packed each; an empty table
-gives no rows; further columns are ignored.
+gives no rows; further columns of any name are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -23,14 +28,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorelane.llm.common import Scratch, by_batch
+
 MOST_STRETCHES = 300_000
 # ASCII and Latin letters up to U+017F whose lower case is one letter.
 PLAIN = "!-~¡-¬®-įı-ňŊ-ſ"
 PLAIN_TEXT, PLAIN_STRETCH = re.compile(f"[ \\n{PLAIN}]*"), re.compile(f"[{PLAIN}]*")
+# The tokenizer settings under which stretches can be remembered.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLIT = {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def plain_settings(path: str) -> bool:
+    """Whether the tokenizer file at path has the settings above."""
+    with open(path, encoding="utf-8") as file:
+        x = json.load(file)
+    whole = x.get("truncation") is None and x.get("padding") is None and x.get("post_processor") is None
+    pre = x.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [SPLIT, BYTE_LEVEL]}
+    return whole and pre and x.get("normalizer") == NORMALIZER and all(x["model"].get(k) == v for k, v in MODEL.items()) and all(t.get(k) == v for t in x.get("added_tokens") or [] for k, v in ADDED.items())
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,10 +71,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.plain = Tokenizer.from_file(path), plain_settings(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.split = regex.compile(PIECES).findall
         self.stretches, self.pieces = _Memory(self._stretch), _Memory(self._piece)
 
     def _piece(self, piece: str) -> bytes:
@@ -60,9 +83,12 @@ class Encoder:
             piece = piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
 
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _stretch(self, text: str) -> bytes:
         if not PLAIN_STRETCH.fullmatch(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return self._whole(text)
         text = text.lower()
         if text.isalpha():
             return self.pieces[text]
@@ -72,6 +98,8 @@ class Encoder:
 
     def ids(self, text: str | None) -> bytes:
         text = text or ""
+        if not self.plain or any(t in text for t in self.added):
+            return self._whole(text)
         if text.isascii() or PLAIN_TEXT.fullmatch(text):
             text = text.lower()  # fewer stretches to remember
         return b"".join(map(self.stretches.__getitem__, text.replace("\n", " ").split(" ")))
@@ -89,7 +117,7 @@ class _Memory(dict):
 
 
 class BestFit:
-    """Online best fit with a bounded number of open bins. ``add`` and ``finish`` return closed bins, lists of items."""
+    """Online best fit with a bounded number of open bins. ``add`` returns closed bins, ``left`` the open ones: lists of items."""
 
     def __init__(self, capacity: int, open_bins: int):
         self.capacity, self.most = capacity, open_bins
@@ -124,57 +152,103 @@ class BestFit:
             self._put(free - size, items)
         return closed
 
-    def finish(self) -> list[list]:
-        """Packs what the open bins hold again, longest first, with as many bins as it takes."""
-        left = sorted((x for same in self.bins.values() for items in same for x in items), key=lambda x: -x[0])
-        again, closed = BestFit(self.capacity, len(left) + 1), []
-        for size, item in left:
-            closed += again.add(size, item)
-        closed += [items for same in again.bins.values() for items in same]
-        if len(closed) > self.n:
-            closed = [items for same in self.bins.values() for items in same]
+    def left(self) -> list:
+        """What the open bins hold; they are empty then."""
+        out = [items for same in self.bins.values() for items in same]
         self.bits, self.n, self.bins = 0, 0, {}
-        return closed
+        return out
+
+
+def _fields(rows: DataFrame) -> T.StructType:
+    more = (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("sequence_id", T.LongType()), ("offset", T.LongType()))
+    return T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, t) for n, t in more)])
+
+
+class _Rows:
+    """Rows of closed bins, as record batches of a schema."""
 
+    def __init__(self, names: list[str], types: list[pa.DataType], first: int):
+        self.names, self.types, self.sequence, self.held = names, types, first, []
 
-def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, open_bins: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row per piece: key, the columns in keep, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset."""
+    def add(self, closed: list[list]) -> None:
+        for items in closed:
+            offset = 0
+            for size, (before, after) in items:
+                self.held.append((*before, *after, self.sequence, offset))
+                offset += size
+            self.sequence += 1
+
+    def out(self) -> pa.RecordBatch:
+        columns = list(zip(*self.held, strict=True)) or [[] for _ in self.names]
+        self.held = []
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, self.types, strict=True)], names=self.names)
+
+
+def _wide(ids: Column, narrow: bool) -> Column:
+    """16-bit ids as 32-bit ones."""
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in arrays:
+            yield pa.array([np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes() for x in a], pa.binary())
+
+    return by_batch(run, "binary", ids) if narrow else ids
+
+
+def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, open_bins: int = 256, keep: tuple[str, ...] = (), group: int = 512) -> DataFrame:
+    """A row per piece: key, the columns in keep, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset.
+    Other columns of the same names as these six can't be in keep."""
+    from tokenizers import Tokenizer
+
+    scratch = Scratch(docs.sparkSession, "packing")
     rows = docs.select(F.col(key), *keep, F.col(text).cast("string").alias("_text"))
-    kept = rows.columns[:-1]
-    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("sequence_id", T.LongType()), ("offset", T.LongType())))])
+    schema, lead = _fields(rows), len(rows.columns) - 1
+    marked = T.StructType([*schema.fields[:-2], T.StructField("left", T.BooleanType()), *schema.fields[-2:]])
+    # In between, ids take 16 bits if all fit.
+    narrow = max([end_id, *Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values()]) < 1 << 16
+    width = 2 if narrow else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(tokenizer_path), BestFit(capacity, open_bins)
-        end, first = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 36
-        sequence, held, types = first, [], None
-
-        def emit(closed: list[list]) -> None:
-            nonlocal sequence
-            for items in closed:
-                offset = 0
-                for size, (values, piece, start, ids) in items:
-                    held.append((*values, piece, start, size, ids, sequence, offset))
-                    offset += size
-                sequence += 1
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*held, strict=True)) or [[] for _ in schema.fields]
-            kinds = [*types, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
-
+        encoder, packer, made = Encoder(tokenizer_path), BestFit(capacity, open_bins), None
+        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            types = [f.type for f in b.schema][:-1]
-            columns = [b.column(i).to_pylist() for i in range(len(kept))]
-            for i, t in enumerate(x.as_py() for x in b.column(len(kept))):
+            if made is None:
+                kinds = [f.type for f in b.schema][:-1]
+                made = _Rows(marked.names, [*kinds, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()], TaskContext.get().partitionId() << 36)
+            columns = [b.column(i).to_pylist() for i in range(lead)]
+            for i, t in enumerate(x.as_py() for x in b.column(lead)):
                 ids, values = encoder.ids(t) + end, tuple(c[i] for c in columns)
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    emit(packer.add(len(part) // 4, (values, piece, at // 4, part)))
-                if len(held) >= 5000:
-                    yield out()
-        if types is not None:
-            emit(packer.finish())
-            yield out()
-
-    return rows.mapInArrow(run, schema)
+                if narrow:
+                    ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+                for piece, at in enumerate(range(0, len(ids), width * capacity)):
+                    part = ids[at : at + width * capacity]
+                    size = len(part) // width
+                    made.add(packer.add(size, (values, (piece, at // width, size, part, False))))
+                if len(made.held) >= 5000:
+                    yield made.out()
+        if made is not None:
+            made.add([[(size, (before, (*after[:-1], True))) for size, (before, after) in items] for items in packer.left()])
+            yield made.out()
+
+    pieces = scratch.put(rows.mapInArrow(run, marked), "pieces")
+    closed, left = pieces.where(~F.col("left")).drop("left"), pieces.where("left").drop("left")
+    groups = -(-(left.agg(F.sum("length")).first()[0] or 0) // (capacity * group)) or 1
+    left = left.withColumn("offset", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, made, now = BestFit(capacity, 1 << 62), None, None
+        for b in batches:
+            if made is None:
+                made = _Rows(schema.names, [f.type for f in b.schema], 0)
+            for *values, number in zip(*(b.column(i).to_pylist() for i in (*range(lead + 4), lead + 5)), strict=True):
+                if number != now:
+                    made.add(packer.left())
+                    now, made.sequence = number, 1 << 62 | number << 36
+                made.add(packer.add(values[lead + 2], (values, ())))
+            yield made.out()
+        if made is not None:
+            made.add(packer.left())
+            yield made.out()
+
+    order = [F.col("offset"), F.desc("length"), F.col("sequence_id"), F.col(key), F.col("piece")]
+    packed = closed.unionByName(left.repartition("offset").sortWithinPartitions(*order).mapInArrow(again, schema))
+    return packed.withColumn("ids", _wide(F.col("ids"), narrow))

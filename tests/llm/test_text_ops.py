@@ -114,13 +114,12 @@ def test_decode(spark, ranks, tik):
 
 
 def test_packing_matches_the_tokenizer(spark):
-    texts = [*TEXTS, "word " * 9000, "İstanbul ŉ ª ²³ ﬁ Ǆ Σας", "a-b_c.d,e!!", "A\x0bB\x0cC\rD", "İŉ", "\xad soft", *["short text"] * 20]
-    rows = [(i if i else None, t, 0) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, piece int").repartition(2)
+    texts = [*TEXTS, "word " * 9000, "İstanbul ŉ ª ²³ ﬁ Ǆ Σας", "a-b_c.d,e!!", "A\x0bB\x0cC\rD", "İŉ", "\xad soft", "hello <|endoftext|> world<|startoftext|>x <|ENDOFTEXT|>", *["short text"] * 20]
+    rows = [(i if i else None, t, *[0] * 5) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece int, ids int, offset int, length int, left int").repartition(2)
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     want = {}
-    for i, t, _ in rows:
+    for i, t, *_ in rows:
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         for p, at in enumerate(range(0, len(ids), 4096)):
             want[i, p] = (at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes()))
@@ -149,11 +148,46 @@ def test_best_fit(sizes, open_bins):
     for i, s in enumerate(sizes):
         closed += packer.add(s, i)
         assert packer.n <= open_bins and packer.n == sum(map(len, packer.bins.values()))
-    closed += packer.finish()
+    closed += packer.left()
     assert sorted(i for b in closed for _, i in b) == list(range(len(sizes)))
     assert all(sum(s for s, _ in b) <= 50 for b in closed)
 
 
+def test_packing_over_many_tasks_stays_near_the_least_possible(spark, monkeypatch):
+    random.seed(9)
+    docs = spark.createDataFrame([(i, "a " * int(random.paretovariate(1.1) * 120)) for i in range(3000)], "doc_id long, text string").repartition(101)
+    path = P.path("word_bpe_49k.json")
+    for group in (512, 16):
+        got = packing.pack(docs, path, open_bins=8, group=group).collect()
+        check_sequences(got, 4096)
+        least = -(-sum(r["length"] for r in got) // 4096)
+        n = len({r["sequence_id"] for r in got})
+        assert n <= (1.01 if group == 512 else 1.05) * least
+        assert len({(r["doc_id"], r["piece"]) for r in got}) == len(got)
+
+
+def test_packing_with_another_tokenizer(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    assert packing.plain_settings(P.path("word_bpe_49k.json")) and not packing.plain_settings(path)
+    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in packing.pack(docs, path).collect()}
+    assert got == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(TEXTS)}
+
+
+def test_packing_query_against_the_plain_call_on_the_table(spark):
+    data = "/root/testdata/sf0.01"
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = {}
+    for i, t in duckdb.sql(f"select doc_id, text from '{data}/documents.parquet'").fetchall():
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want |= {(i, p): (at, zlib.crc32(ids[at : at + 4096].tobytes())) for p, at in enumerate(range(0, len(ids), 4096))}
+    got = queries.QUERIES["op3_best_fit_packing"](spark, data).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["ids_crc32"]) for r in got} == want
+    check_sequences(got, 4096)
+    assert len({r["sequence_id"] for r in got}) <= 1.01 * -(-sum(r["length"] for r in got) // 4096)
+
+
 def test_fullest_closes_first():
     packer = packing.BestFit(10, 2)
     assert packer.add(6, "a") == [] and packer.add(8, "b") == []
