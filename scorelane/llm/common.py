@@ -46,6 +46,16 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def meet(rows: DataFrame, table: DataFrame, on: str, size: str, total: int, hot: int = 1000) -> DataFrame:
+    """rows joined with table, which has one row per value of on; size is how many of about total rows have that value. Values with
+    more than total / hot rows, at most hot of them, come by a broadcast, so no task gets all rows of such a value. The column
+    size stays. table is read three times: write it first."""
+    often = max(1, total // hot)
+    few = F.broadcast(table.where(F.col(size) > often))
+    rest = rows.join(F.broadcast(few.select(on)), on, "left_anti").join(table.where(F.col(size) <= often), on)
+    return rows.join(few, on).unionByName(rest)
+
+
 def by_batch(run: Callable[[Iterator], Iterator[pa.Array]], returns: str, *columns: Column) -> Column:
     """run over batches of the columns. Marked as not deterministic, so that a filter on its result runs it once, not twice."""
 

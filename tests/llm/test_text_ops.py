@@ -2,9 +2,10 @@
 
 import base64
 import hashlib
-import json
+import html as html_lib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -327,21 +328,114 @@ def test_html_extraction(spark):
     assert html_wrapper.extract(pages(spark, [])).count() == 0
 
 
-def test_wrapper_has_optional_and_repeated_groups():
-    w = None
-    for b in ("<p>a</p><p>b</p>", "", "<p>c</p><blockquote>q</blockquote>"):
-        w = html_wrapper.align(w, html_wrapper.page_tree(PAGE.format(h="x", b=b)))
-    assert w.regex() == "<><html><body><article><h1>#TEXT</h1>(<p>#TEXT</p>)+?(<blockquote>#TEXT</blockquote>)?</article></body></html></>"
-    assert html_wrapper.main_places(w) == ["/html/body/article"]
-    assert html_wrapper.Node.of(json.loads(json.dumps(w.as_list()))).regex() == w.regex()
+def wrapper(htmls):
+    tokens = {}
+    for x in htmls:
+        for at, t in html_wrapper.page_tokens(x).items():
+            if at in tokens:
+                tokens[at].add(t)
+            else:
+                tokens[at] = t
+    return html_wrapper.wrapper_of(list(tokens.values()))
+
+
+def by(w, page):
+    return html_wrapper.extract_page(page, w.kind, w.place, w.without, w.same)
+
+
+def test_wrapper_has_optional_and_repeated_groups_slots_and_template_texts():
+    letter = "<p>Sign up for our weekly letter</p>"
+    bodies = ["<p>a long text, which differs</p><p>b</p>", "", "<p>c, a text of its own kind too</p><blockquote>q</blockquote>", "<p>d: another one</p>"]
+    pages = [PAGE.format(h=f"This is the title of page {i}", b=b + letter) for i, b in enumerate(bodies)]
+    w = wrapper(pages)
+    assert w.expression == "<html><body><article><h1>#TEXT</h1>(<p>#SAME#TEXT</p>)+(<blockquote>#TEXT</blockquote>)?</article></body></html>"
+    assert by(w, pages[2]) == ("This is the title of page 2\nc, a text of its own kind too\nq", True)
+    assert by(wrapper(pages[:3]), pages[0])[0].endswith("weekly letter")  # too few pages to tell
+    copies = [pages[0]] * 9 + [pages[1]]
+    assert by(wrapper(copies), pages[0])[0].endswith("b\nSign up for our weekly letter")
+
+
+def test_template_texts_go_and_others_stay(spark):
+    rows = [(i, "https://a.example/", PAGE.format(h=f"Title {i}", b=f"<p>Body of page {i} is here</p><p>Sign up for our weekly letter</p>" + "<p>often said</p>" * (i % 3 > 0)), "", "") for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Title {i}\nBody of page {i} is here" + "\noften said" * (i % 3 > 0) for i in range(30)}
 
 
 def test_wrapper_without_article_takes_the_part_that_varies():
     page = "<body><div class=top><p>Same words on every single page of this host, rather many of them in fact</p></div><div class=x><p>varies {0}</p><p>also {0}</p></div></body>"
-    w = None
-    for i in range(5):
-        w = html_wrapper.align(w, html_wrapper.page_tree(page.format(i)))
-    assert html_wrapper.main_places(w) == ["/body/div.x"]
+    htmls = [page.format(i) for i in range(5)]
+    w = wrapper(htmls)
+    assert w.kind == 0 and w.place != html_wrapper.ROOT and by(w, htmls[3]) == ("varies 3\nalso 3", True)
+    assert by(w, "<div>elsewhere</div>") == ("", False)
+
+
+def plain_wrapper(htmls):
+    """The expression by counting every path and text of all pages, without hashes or aggregates."""
+    seen, texts, order, root = {}, {}, {}, len(htmls)
+    for x in htmls:
+        path, kids, here, said = [()], [[]], set(), set()
+        again = set()
+        for event, e in html_wrapper.blocks(x):
+            if event == "open":
+                p = (*path[-1], e[2])
+                if p in kids[-1]:
+                    again.add(p)
+                elif p not in here:
+                    order.setdefault(p, []).append(len(kids[-1]))
+                if p not in kids[-1]:
+                    kids[-1].append(p)
+                here.add(p), path.append(p), kids.append([])
+            elif event == "close":
+                path.pop(), kids.pop()
+            else:
+                said.add((path[-1], e))
+        for p in here:
+            n, r = seen.get(p, (0, False))
+            seen[p] = (n + 1, r or p in again)
+        for t in said:
+            texts[t] = texts.get(t, 0) + 1
+    template = {t for t, n in texts.items() if root >= 4 and 10 * n >= 9 * root}
+    kept = {p for p, (n, _) in seen.items() if 64 * n >= root}
+
+    def said_in(p):
+        n, r = seen.get(p, (root, False))
+        inner = sorted((q for q in kept if q[:-1] == p), key=lambda q: (sum(order[q]) / seen[q][0], q[-1]))
+        around = seen[p[:-1]][0] if len(p) > 1 else root
+        tag = re.split(r"[.#@]", p[-1])[0] if p else ""
+        own = [t for t in texts if t[0] == p]
+        rare = [q for q in seen if q[:-1] == p and q not in kept and any(t[0][: len(q)] == q and t not in template for t in texts)]
+        out = (f"<{p[-1]}>" if p else "") + "#SAME" * any(t in template for t in own) + "#TEXT" * bool(rare or any(t not in template for t in own)) + "".join(map(said_in, inner)) + (f"</{tag}>" if p else "")
+        return f"({out}){'+' * r}{'?' * (n < around)}" if r or n < around else out
+
+    return said_in(())
+
+
+def test_wrappers_and_texts_of_the_table_against_plain_versions(spark):
+    data = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"select page_id, url, html from '{data}/pages.parquet'").fetchall()
+    hosts = {}
+    for _, url, x in rows:
+        hosts.setdefault(re.match(r"[a-z]+://([^/:?#]+)", url)[1].lower(), []).append(x)
+    got = {r["host"]: (r["pages"], r["wrapper"]) for r in html_wrapper.infer_wrappers(spark.read.parquet(f"{data}/pages.parquet")).collect()}
+    assert got == {h: (len(x), plain_wrapper(x)) for h, x in hosts.items()}
+
+    def article(x):
+        inner = re.search(r"<article[^>]*>(.*)</article>", x, re.S)[1]
+        parts = re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|blockquote|pre|table|tr|td|th|section|header)\b[^>]*>", re.sub(r"(?s)<!--.*?-->", "", inner))
+        lines = (" ".join(html_lib.unescape(re.sub(r"<br[^>]*>", " ", p) and re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", p))).split()) for p in parts)
+        return "\n".join(line for line in lines if line)
+
+    texts = {r["page_id"]: (r["text"], r["n_chars"]) for r in queries.QUERIES["op7_html_extract"](spark, data).collect()}
+    assert texts == {i: (article(x), len(article(x))) for i, _, x in rows}
+
+
+def test_strange_html_takes_linear_time():
+    for x in ("<div>" * 100_000 + "hi", "<a " * 350_000, '<a href="x' * 100_000 + ">", "<svg>" * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<ul>" + "<div>" * 30_000 + "<li>x" * 30_000, "<" * 200_000):
+        began = time.monotonic()
+        own = wrapper([x])
+        by(own, x)
+        assert time.monotonic() - began < 30
+    assert by(wrapper(["<div>" * 5000 + "hi"]), "<div>" * 5000 + "hi")[0] == "hi"
 
 
 @settings(max_examples=60, deadline=None)
@@ -352,7 +446,7 @@ def test_any_html_is_read(text):
         depth += (kind == "open") - (kind == "close")
         assert depth >= 0
     assert depth == 0
-    html_wrapper.extract_page(text, html_wrapper.main_places(html_wrapper.page_tree(text)))
+    by(wrapper([text]), text)
 
 
 def test_base64_ranks(ranks):
