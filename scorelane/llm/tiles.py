@@ -31,7 +31,7 @@ def packed(vector: Column) -> Column:
     return by_batch(run, "binary", vector)
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Packed vectors of equal length as rows."""
     parts = column.to_pylist()
     return np.frombuffer(b"".join(parts), "<f8").reshape(len(parts), -1)
