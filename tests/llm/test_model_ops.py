@@ -126,6 +126,17 @@ def test_near_duplicate_vectors(spark, monkeypatch):
     assert vector_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_pairs_within_the_bound_are_recomputed():
+    rng = np.random.default_rng(5)
+    x = unit(rng.normal(size=(1, 32)) + rng.normal(size=(300, 32)) * 0.24)
+    left, right, sure = vector_dedup.tile_pairs(vector_dedup.quantise(x), None, 0.95)
+    true = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)), strict=True)}
+    found = set(zip(left.tolist(), right.tolist(), strict=True))
+    assert true <= found and {p for p, s in zip(zip(left.tolist(), right.tolist(), strict=True), sure, strict=True) if s} <= true
+    linked = vector_dedup.exact(x, x, left[~sure], right[~sure], 0.95)
+    assert 0 < linked.sum() < len(linked)
+
+
 def test_near_duplicate_vector_edges(spark):
     got = sorted((tuple(r) for r in vector_dedup.near_duplicates(frame(spark, [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (None, [1.0, 0.0]), (7, [0.0, 1.0])])).collect()), key=str)
     assert got == sorted([(5, 1, 5, True), (5, 1, 5, True), (None, 0, None, True), (7, 0, 7, True)], key=str)
@@ -141,18 +152,29 @@ def test_quantisation_bound_holds():
 
 def test_search_is_exact_when_all_are_reranked(spark):
     rows = vectors()
-    x, ids = unit(np.array([v for _, v in rows])), np.array([i for i, _ in rows])
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
     for block in (1000, 50):
-        got = permutation_index.search(frame(spark, rows + ODD), F.col("vec_id") % 5 == 0, share=1.0, pivots=20, prefix=10, block=block, query_block=20).collect()
+        got = permutation_index.search(frame(spark, rows + ODD), F.col("vec_id") % 5 == 0, reranked=1000.0, pivots=20, prefix=10, window=4, block=block).collect()
         by = {}
         for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
             by.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-        assert set(by) == {i for i in ids.tolist() if i % 5 == 0} | {10_005} - {10_005}
-        for q, found in by.items():
-            s = x @ x[np.flatnonzero(ids == q)[0]]
-            s[ids == q] = -2
-            best = np.lexsort((ids, -np.round(s, 12)))[:5]
-            assert [v for _, v in found] == pytest.approx(s[best].tolist(), abs=1e-9)
+        want = {}
+        for i, y in zip(ids.tolist(), x, strict=True):
+            if i % 5 == 0:
+                s = permutation_index.cosines(x, y)
+                s[ids == i] = -2
+                want[i] = [(int(ids[k]), float(s[k])) for k in np.lexsort((ids, -s))[:5]]
+        assert by == want
+
+
+def test_equal_vectors_have_equal_scores_and_go_by_id(spark):
+    rng = np.random.default_rng(11)
+    same = [float(x) for x in np.float32(rng.normal(size=64))]
+    rows = [(i, same if i % 3 == 1 else [float(x) for x in np.float32(rng.normal(size=64))]) for i in range(120)]
+    got = permutation_index.search(frame(spark, rows), F.col("vec_id") == 0, block=16).orderBy("rank").collect()
+    tied = permutation_index.search(frame(spark, rows), F.col("vec_id") == 4, block=16).orderBy("rank").collect()
+    assert [r["vec_id"] for r in tied] == [1, 7, 10, 13, 16] and len({r["score"] for r in tied}) == 1
+    assert len(got) == 5
 
 
 def test_search_recall_on_the_table(spark):
@@ -182,9 +204,11 @@ def test_inverted_files_give_the_footrule():
     x, pivots = unit(rng.normal(size=(30, 8))), unit(rng.normal(size=(12, 8)))
     order = permutation_index.orders(x, pivots, 5)
     assert (order == np.argsort(-(x @ pivots.T), axis=1)[:, :5]).all()
-    far = permutation_index.footrules(permutation_index.inverted_files(order, 12), order[3])
-    want = [sum(abs((list(o).index(p) if p in o else 5) - i) for i, p in enumerate(order[3])) for o in order]
-    assert far.tolist() == want
+    files = permutation_index.InvertedFiles(order, 12)
+    for window in (0, 1, 2, 9):
+        near = files.nearness(order[3], window)
+        want = [sum(min(window + 1, abs(list(o).index(p) - i) if p in o else window + 1) for i, p in enumerate(order[3])) for o in order]
+        assert (5 * (window + 1) - near).tolist() == want
 
 
 def test_language_held_out(spark, data):
