@@ -6,7 +6,7 @@
 3. Keys that share a band stand in one bucket. A document is first paired with those least keys of its buckets that share several
    bands with it, a few in each round and only with other components, until a round links nothing more: that is linear, and
    ties large groups of copies together. Then, in buckets that still hold several components, all other pairs across components are compared by
-   signature, in blocks of bounded size. So every pair that shares a band is compared unless its ends are already in one
+   signature, in blocks of bounded size; the members of those that agree come again with their sets. So every pair that shares a band is compared unless its ends are already in one
    component, whatever the bucket's size.
 4. Pairs whose signatures agree enough are confirmed on full sets: 100 * intersection >= percent * union.
 5. Components of the confirmed links are found by alternating large-star and small-star.
@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelane.llm.common import Scratch, by_batch
+from scorelane.llm.common import Scratch, by_batch, meet
 from scorelane.llm.components import connected
+from scorelane.llm.tiles import by_group
 
 MOST_WORDS = 150_000
-MARKS = 1 << 26  # bits
+MOST_MARKED = 1 << 21  # keys that a bitmap of 32 bits a key (8 MB) tells apart
+HOT_BANDS = 2000
 STARS = 3  # least keys that a document is paired with in a round; in the first it is one
 PAIRS_PER_TASK = 20_000
 BLOCK = 2048  # members of a bucket that are compared with each other at once
@@ -146,10 +148,13 @@ def _common(a: Column, b: Column) -> Column:
     return by_batch(run, "bigint", a, b)
 
 
-def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose key may be among keys, by a bitmap of MARKS bits: 2048 rows of 4 KB at most, so it can go to every
-    task. Others that pass cost time only; when there are very many keys it lets more through."""
-    place = F.pmod(F.xxhash64("key"), F.lit(MARKS)) + 1
+def _among(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The rows whose key is among keys, n of them at most. Up to MOST_MARKED keys go to every task as a bitmap of 32 to 64 bits a
+    key, which lets a few other rows through as well, and costs no shuffle of texts; more keys are joined."""
+    if n > MOST_MARKED:
+        return rows.join(keys.distinct(), "key", "left_semi")
+    bits = 1 << max(15, (32 * n).bit_length())
+    place = F.pmod(F.xxhash64("key"), F.lit(bits)) + 1
     marks = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
     at = rows.withColumn("_p", place).withColumn("_bucket", F.bitmap_bucket_number("_p")).withColumn("_p", F.bitmap_bit_position("_p"))
     byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
@@ -160,7 +165,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int,
     """Of pairs (u, v), those whose full sets are similar enough; written. Only the texts concerned are read on."""
     pairs = scratch.put(pairs, f"{name}_pairs", tasks)
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    texts = _marked(texts, pairs.select(F.explode(F.array("u", "v")).alias("key")))
+    texts = _among(texts, pairs.select(F.explode(F.array("u", "v")).alias("key")), 2 * pairs.count())
     sets = scratch.put(texts.select("key", _sets(words, F.col("text")).alias("set")), f"{name}_sets").dropDuplicates(["key"])
     one = pairs.join(sets.select(F.col("key").alias("v"), F.col("set").alias("sv")), "v")
     two = one.join(sets.select(F.col("key").alias("u"), F.col("set").alias("su")), "u")
@@ -178,56 +183,52 @@ def _similar(a: pa.Buffer, b: pa.Buffer, percent: float) -> bool:
     return 100 * common >= percent * (len(every) - common)
 
 
-def _across(members: DataFrame, percent: int, screen: float) -> DataFrame:
-    """Pairs (u, v) of a bucket in different components that may be similar; a pair that shares several bands comes from the
-    first of them alone. members: band, blocks, key, n, comp, sig, bands (all of the key's, packed), short (its set, 32 bits
-    a shingle). Pairs that pass the signatures are compared by their short sets here, so what comes out grows with the links
-    and not with the pairs; shortening moves a similarity by parts in a million, hence the slack of half a percent."""
-    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
-    dealt = members.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "key", "n", "comp", "sig", "bands", "short")
+def _across(members: DataFrame, sigs: DataFrame, short: DataFrame | None, percent: int, screen: float) -> DataFrame:
+    """The members of a bucket in different components that may be similar. members: band, p, q, i (of blocks p and q of a bucket, which
+    one), key, comp; sigs: key, n, sig, bands (all of the key's, packed). A pair that shares several bands belongs to the first
+    of them alone.
+
+    Without short sets: the members (same columns) of pairs whose signatures agree, so what comes out grows with the members and
+    not with their pairs. With short (key and its set, 32 bits a shingle), for those: the pairs (u, v) whose short sets are
+    similar, which grow with the links; shortening moves a similarity by parts in a million, hence the slack of half a
+    percent."""
+    dealt, with_sets = members.join(sigs, "key"), short is not None
+    dealt = dealt.join(short, "key") if with_sets else dealt.withColumn("short", F.lit(None).cast("binary"))
+    dealt = dealt.select("band", "p", "q", "i", "key", "comp", "n", "sig", "bands", "short")
+    fields = ("u", "v") if with_sets else ("band", "p", "q", "i", "key", "comp")
 
-    def pairs(rows: pa.Table, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         key, n, comp, i = (rows.column(c).to_numpy() for c in ("key", "n", "comp", "i"))
         p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
-        if (comp == comp[0]).all():
-            return
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(key), -1)
-        bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.int64).reshape(len(key), -1)
-        short = rows.column("short")
-        own = int(np.flatnonzero(bands[0] == rows.column("band")[0].as_py())[0])
-        for x in np.flatnonzero(i == p):
-            other = np.flatnonzero((i == q) & (comp != comp[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent))
-            if p == q:
-                other = other[other > x]
-            if len(other):
-                other = other[(sig[other] == sig[x]).mean(axis=1) >= screen]
-                other = other[~(bands[other, :own] == bands[x, :own]).any(axis=1)]
-                other = other[[_similar(short[x].as_buffer(), short[int(y)].as_buffer(), percent - 0.5) for y in other]] if len(other) else other
-                out.append((np.full(len(other), key[x]), key[other]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def work(rows: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
-            """All groups but the last, which may go on in the next batch."""
-            band, p, q = (rows.column(c).to_numpy() for c in ("band", "p", "q"))
-            cuts = [0, *(np.flatnonzero((band[1:] != band[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist(), len(rows)]
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for a, z in zip(cuts[: -1 if last else -2], cuts[1:], strict=False):
-                pairs(rows.slice(a, z - a), found)
-            u, v = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v), pa.int64()), pa.array(np.minimum(u, v), pa.int64())], names=["u", "v"]), rows.slice(cuts[-2])
-
-        for b in batches:
-            if len(b):
-                out, rest = work(pa.Table.from_batches([*held, b]), False)
-                held = rest.to_batches()
-                yield out
-        if held:
-            yield work(pa.Table.from_batches(held), True)[0]
-
-    return dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q").mapInArrow(run, "u long, v long").distinct()
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if (comp != comp[0]).any():
+            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(key), -1)
+            bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.int64).reshape(len(key), -1)
+            sets = rows.column("short")
+            own = int(np.flatnonzero(bands[0] == rows.column("band")[0].as_py())[0])
+            for x in np.flatnonzero(i == p):
+                other = np.flatnonzero((i == q) & (comp != comp[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent))
+                if p == q:
+                    other = other[other > x]
+                if len(other):
+                    other = other[(sig[other] == sig[x]).mean(axis=1) >= screen]
+                    other = other[~(bands[other, :own] == bands[x, :own]).any(axis=1)]
+                    if with_sets and len(other):
+                        other = other[[_similar(sets[int(x)].as_buffer(), sets[int(y)].as_buffer(), percent - 0.5) for y in other]]
+                    left.append(np.full(len(other), x))
+                    right.append(other)
+        return np.concatenate(left), np.concatenate(right)
+
+    def result(rows: pa.Table) -> pa.RecordBatch:
+        left, right = pairs(rows)
+        if not with_sets:
+            some = pa.array(np.unique(np.concatenate([left, right])))
+            return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().take(some) for c in fields], names=fields)
+        key = rows.column("key").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(key[left], key[right])), pa.array(np.minimum(key[left], key[right]))], names=fields)
+
+    out = by_group(dealt, ["band", "p", "q"], result, ", ".join(f"{c} long" for c in fields))
+    return out.distinct() if with_sets else out
 
 
 def _packed(bands: Column) -> Column:
@@ -263,8 +264,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     firsts = linkable.join(classes.select("digest", "class"), "digest", "left").where("class is null or class = key")
 
     posted = firsts.select(F.explode("bands").alias("band"), "key")
-    buckets = posted.groupBy("band").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = scratch.put(posted.join(buckets, "band"), "members")
+    buckets = scratch.put(posted.groupBy("band").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    members = scratch.put(meet(posted, buckets, "band", "size", bands * all_rows.count(), HOT_BANDS), "members")
     met = members.select("key").distinct()
     sigs = firsts.select("key", "n", "sig", _packed(F.col("bands")).alias("bands")).join(met, "key", "left_semi").dropDuplicates(["key"])
     sigs = scratch.put(sigs, "sigs")
@@ -303,19 +304,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     if found is None:
         found = docs.sparkSession.createDataFrame([], "node long, component long")
     several = members.where("size > 2").select("band", "key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    several = several.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
-    open_ = several.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    several = scratch.put(several.join(open_, "band", "left_semi").select("band", "blocks", "key", "comp"), "several")
-    texts = _marked(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), several.select("key"))
+    several = several.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+    several = scratch.put(several, "several")
+    open_ = several.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    several = meet(several, scratch.put(open_.select("band", "size"), "open"), "band", "size", several.count(), HOT_BANDS)
+    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    several = several.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    several = several.select("band", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "key", "comp")
+    likely = scratch.put(_across(several, sigs, None, percent, screen), "likely")
+    asked = likely.select("key").distinct()
+    texts = _among(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), asked, asked.count())
     short = texts.select("key", _sets(words, F.col("text"), True).alias("short")).dropDuplicates(["key"])
-    several = several.join(sigs, "key").join(short, "key").select("band", "blocks", "key", "n", "comp", "sig", "bands", "short")
-    rest = _across(several, percent, screen)
+    rest = _across(likely, sigs, short, percent, screen)
     rest = rest if tried is None else rest.join(tried, ["u", "v"], "left_anti")
     links = _confirm(rest, docs, key, text, words, percent, scratch, "across")
     if not links.isEmpty():
         found = _joined(found, links, scratch, "found_all")
-    scratch.drop("members")
-
     of = all_rows.select("key", "n", "digest").join(classes.select("digest", "class"), "digest", "left").withColumn("node", F.when(F.col("key").isNotNull(), F.coalesce("class", "key")))
     out = of.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = scratch.put(out, "out")
+    for name in scratch.names() - {"out"}:
+        scratch.drop(name)
+    return out
