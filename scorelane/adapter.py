@@ -45,8 +45,7 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clustered_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """references with cluster and the place in the order of clusters."""
     refs = references(spark, sf_dir)
-    placed = clustered(assign(refs, centroids(spark, sf_dir), EMBEDDING_NAMES).select("ref_id", "cluster"))
-    return refs.drop("pos").join(placed, "ref_id")
+    return clustered(assign(refs, centroids(spark, sf_dir), EMBEDDING_NAMES, keep=[*EMBEDDING_NAMES, "is_fraud"]).drop("dist"))
 
 
 def _text(ts: Column) -> Column:

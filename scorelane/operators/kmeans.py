@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from scorelane.functions.math_expr import half
+from scorelane.operators.blocks import best, candidates, columns, exact
 
 MOST_CENTROIDS = 65_536
+STRETCH = 65_536
 MASK = (1 << 64) - 1
 
 
@@ -42,14 +44,11 @@ def first_rows(count: int, nlist: int, seed: int) -> list[int]:
 def assign(refs: DataFrame, centroids: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """ref_id, the kept columns, cluster, dist: the nearest centroid of each row, ties to the smaller cluster.
 
-    Centroids are few (MOST_CENTROIDS at most) and go to every task. Rows are compared with all of them in blocks of arrays,
-    summing in double precision from left to right, so there is neither a shuffle nor a row per pair.
+    Centroids are few (MOST_CENTROIDS at most) and go to every task. Rows are compared with all of them in blocks of arrays: a
+    matrix product leaves those that can be nearest, which are summed exactly, in double precision from left to right. There is
+    neither a shuffle nor a row per pair.
     """
-    cs = centroids.select("cluster", *[F.col(n).cast("double").alias(n) for n in names]).limit(MOST_CENTROIDS + 1).collect()
-    if len(cs) > MOST_CENTROIDS:
-        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
-    cs.sort(key=lambda r: r["cluster"])
-    number, points = np.array([r["cluster"] for r in cs], np.int64), np.array([[r[n] for n in names] for r in cs]).reshape(len(cs), len(names))
+    number, points = _points(centroids, names)
     kept = refs.select("ref_id", *keep)
     rows = refs.select("ref_id", *keep, *[F.col(n).cast("double").alias(f"_{n}") for n in names])
     kind = centroids.schema["cluster"].dataType
@@ -58,23 +57,32 @@ def assign(refs: DataFrame, centroids: DataFrame, names: Sequence[str], keep: Se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cluster, least = np.zeros(len(b), np.int64), np.full(len(b), np.inf)
-            if len(points):
-                x = [b.column(lead + i).to_numpy(zero_copy_only=False) for i in range(len(names))]
-                for at in range(0, len(b), 1024):
-                    dist = np.zeros((len(x[0][at : at + 1024]), len(points)))
-                    for i, column in enumerate(x):
-                        apart = column[at : at + 1024, None] - points[None, :, i]
-                        apart *= apart
-                        dist += apart
-                    best = dist.argmin(axis=1)
-                    cluster[at : at + 1024], least[at : at + 1024] = number[best], dist[np.arange(len(best)), best]
-                out = [*b.columns[:lead], pa.array(cluster).cast(to_arrow_type(kind)), pa.array(least)]
-                yield pa.RecordBatch.from_arrays(out, names=schema.names)
+            near, least = nearest(columns(b, [f"_{n}" for n in names]), points)
+            cluster = number[near] if len(points) else np.zeros(len(b), np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:lead], pa.array(cluster).cast(to_arrow_type(kind)), pa.array(least)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def _points(centroids: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    cs = centroids.select("cluster", *[F.col(n).cast("double").alias(n) for n in names]).limit(MOST_CENTROIDS + 1).collect()
+    if len(cs) > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
+    cs.sort(key=lambda r: r["cluster"])
+    return np.array([r["cluster"] for r in cs], np.int64), np.array([[r[n] for n in names] for r in cs], float).reshape(len(cs), len(names))
+
+
+def nearest(x: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the number of the nearest point, ties to the lesser, and its squared distance."""
+    near, least = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    if len(points):
+        for i, j in candidates(x, points, 1):
+            dist = exact(x[i], points[j])
+            some = best(1, i, dist, j)
+            near[i[some]], least[i[some]] = j[some], dist[some]
+    return near, least
+
+
 def means(assigned: DataFrame, names: Sequence[str]) -> DataFrame:
     """cluster, n and the mean of each column, summed in double precision and rounded to single."""
     return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(n).cast("double")).cast("float").alias(n) for n in names])
@@ -93,43 +101,71 @@ def update(centroids: DataFrame, means_: DataFrame, names: Sequence[str]) -> Dat
 @dataclass
 class Trained:
     centroids: list[Row]  # cluster and coordinates after the last update
-    assigned: DataFrame  # ref_id, cluster of the last assignment, made before that update
+    before: list[Row]  # those of the last assignment, made before that update; none without any step
     iters: int
     max_change: float
 
+    def assigned(self, refs: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+        """ref_id, the kept columns, cluster by the last assignment step; without any step all rows are in cluster 0."""
+        if not self.before:
+            return refs.select("ref_id", *keep, F.lit(0).alias("cluster"))
+        schema = "cluster int, " + ", ".join(f"{n} float" for n in names)
+        return assign(refs, refs.sparkSession.createDataFrame(self.before, schema), names, keep).drop("dist")
+
+
+def step(refs: DataFrame, names: Sequence[str], points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and column sums of each point's cluster. Tasks add up their own rows, so at most a row per cluster and task is shuffled."""
+    sums = ", ".join(f"{n} double" for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(len(points), np.int64), np.zeros(points.shape)
+        for b in batches:
+            x = columns(b, names)
+            near, _ = nearest(x, points)
+            n += np.bincount(near, minlength=len(points))
+            for i in range(len(names)):
+                total[:, i] += np.bincount(near, x[:, i], len(points))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), *(pa.array(total[some, i]) for i in range(len(names)))], names=["cluster", "n", *names])
+
+    parts = refs.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(run, f"cluster int, n long, {sums}")
+    n, total = np.zeros(len(points), np.int64), np.zeros(points.shape)
+    for r in parts.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]).collect():
+        n[r["cluster"]], total[r["cluster"]] = r["n"], [r[c] for c in names]
+    return n, total
+
 
 def train(refs: DataFrame, names: Sequence[str], nlist: int, max_iter: int = 30, tol: float = 0.0005, seed: int = 42) -> Trained:
-    """refs: ref_id from 0 without gaps, and the columns in names. Assignments are those of the last assignment step, so they
-    are one step older than the centroids; without any step all rows are in cluster 0."""
-    spark = refs.sparkSession
-    refs = refs.select("ref_id", *[F.col(n).cast("float").alias(n) for n in names]).persist()
-    try:
-        drawn = first_rows(refs.count(), nlist, seed)
-        at = {r["ref_id"]: r for r in refs.where(F.col("ref_id").isin(drawn)).collect()}
-        schema = "cluster int, " + ", ".join(f"{n} float" for n in names)
-        rows = [(i, *[at[d][n] for n in names]) for i, d in enumerate(drawn)]
-        assigned = refs.select("ref_id", F.lit(0).alias("cluster"))
-        iters, change = 0, float("inf") if nlist else 0.0
-        while iters < max_iter and nlist:
-            now = spark.createDataFrame(rows, schema)
-            found = assign(refs, now, names, keep=names)
-            moved = update(now, means(found, names), names).orderBy("cluster").collect()
-            assigned = found.select("ref_id", "cluster")
-            rows = [(r["cluster"], *[r[n] for n in names]) for r in moved]
-            change, iters = max(r["change"] for r in moved), iters + 1
-            if change < tol:
-                break
-    finally:
-        refs.unpersist()
-    return Trained([Row("cluster", *names)(*r) for r in rows], assigned, iters, change)
+    """refs: ref_id from 0 without gaps, and the columns in names, which each step reads again: persist or write it first. Clusters
+    without rows keep their centroid. Training ends once no coordinate moves by tol."""
+    drawn = first_rows(refs.count(), nlist, seed)
+    at = {r["ref_id"]: r for r in refs.where(F.col("ref_id").isin(drawn)).collect()} if nlist else {}
+    now = np.array([[at[d][n] for n in names] for d in drawn], np.float32).reshape(nlist, len(names))
+    before, iters, change = None, 0, float("inf") if nlist else 0.0
+    while iters < max_iter and nlist:
+        n, total = step(refs, names, now.astype(float))
+        new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], now).astype(np.float32)
+        change, before, now, iters = float(np.abs(new.astype(float) - now).max()), now, new, iters + 1
+        if change < tol:
+            break
+    rows = lambda x: [] if x is None else [Row("cluster", *names)(i, *map(float, r)) for i, r in enumerate(x)]
+    return Trained(rows(now), rows(before), iters, change)
 
 
 def clustered(assigned: DataFrame) -> DataFrame:
-    """ref_id, cluster, pos: places in the order of (cluster, ref_id), without sorting all rows in one task."""
+    """assigned (ref_id, cluster and others) with pos, its place in the order of (cluster, ref_id). Rows are numbered within
+    stretches of STRETCH ids of a cluster, so no task sorts a whole cluster."""
     from pyspark.sql import Window
 
-    within = F.row_number().over(Window.partitionBy("cluster").orderBy("ref_id"))
-    return assigned.withColumn("_w", within).join(F.broadcast(offsets(assigned).select("cluster", "start")), "cluster").select("ref_id", "cluster", (F.col("start") + F.col("_w") - 1).alias("pos"))
+    part = assigned.withColumn("_part", F.floor(F.col("ref_id") / STRETCH))
+    within = F.row_number().over(Window.partitionBy("cluster", "_part").orderBy("ref_id"))
+    n = part.groupBy("cluster", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("cluster").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = n.groupBy("cluster").agg(F.sum("_n").alias("_all"))
+    start = F.coalesce(F.sum("_all").over(Window.orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = n.select("cluster", "_part", before.alias("_before")).join(every.select("cluster", start.alias("_start")), "cluster")
+    placed = part.withColumn("_w", within).join(starts, ["cluster", "_part"])
+    return placed.select(*assigned.columns, (F.col("_start") + F.col("_before") + F.col("_w") - 1).alias("pos"))
 
 
 def sizes(assigned: DataFrame) -> DataFrame:

@@ -1,22 +1,31 @@
 """k nearest labelled vectors: by comparing all, or through an inverted file.
 
-Queries come in blocks of a checked size, each of which is broadcast, so any number of queries works. Distances stay inside
-whole-stage code and the k best are cut per task before the one shuffle on the query id.
+Rows are compared in blocks of arrays: a matrix product leaves those that can be among the k nearest, whose distances are then
+summed exactly, in double precision from left to right. Each task keeps its k best of each query, so one shuffle of k rows a
+query and task follows. Up to MOST_QUERIES queries go to every task, and the references stay where they are. More queries
+are dealt into blocks, and each pair of a block of queries and a block of references is one task's work, in the same plan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelane.functions.math_expr import squared_distance
+from scorelane.operators.blocks import best, by_group, candidates, columns, exact
 
+MOST_QUERIES = 20_000  # that go to every task
 MOST_BROADCAST = 20_000  # rows of a broadcast side
-PAIRS_PER_TASK = 5_000_000
+PAIRS_PER_TASK = 20_000_000
 ROWS_PER_SPLIT = 500_000
+BLOCK = 65_536  # references that meet a block of queries in one task
+FOUND = [("probe_rank", T.IntegerType()), ("ref_id", T.LongType()), ("pos", T.LongType()), ("is_fraud", T.BooleanType()), ("dist", T.DoubleType())]
 
 
 def spread(df: DataFrame, array: str, dims: int, prefix: str = "v") -> DataFrame:
@@ -24,14 +33,6 @@ def spread(df: DataFrame, array: str, dims: int, prefix: str = "v") -> DataFrame
     return df.withColumns({f"{prefix}{i}": F.get(F.col(array), F.lit(i)) for i in range(dims)}).drop(array)
 
 
-def _blocks(queries: DataFrame, qid: str, total: int, most: int = MOST_BROADCAST) -> list[DataFrame]:
-    n = -(-total // most) or 1
-    if n == 1:
-        return [queries]
-    block = F.pmod(F.xxhash64(qid), F.lit(n))
-    return [queries.where(block == i) for i in range(n)]
-
-
 def _distance(q: DataFrame, r: DataFrame, names: Sequence[str]) -> Column:
     return squared_distance([q[f"q_{n}"] for n in names], [r[n] for n in names])
 
@@ -45,44 +46,116 @@ def _nearest(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _spread_out(refs: DataFrame, n: int, queries: int) -> DataFrame:
-    """References in enough partitions for all the pairs. A set that is small for a scan, and so in few partitions, can still
-    be much work; a large one is in many partitions already."""
-    wanted = -(-n * queries // PAIRS_PER_TASK)
-    return refs.repartition(min(wanted, 4096), "ref_id") if wanted > max(1, n // ROWS_PER_SPLIT) else refs
-
-
-def _bounds(block: DataFrame, refs: DataFrame, n: int, names: Sequence[str], qid: str, k: int, not_self: str | None) -> DataFrame:
-    """qid and bound: the distance of the k-th nearest among about sqrt(k * n) of the n references, or null if there are fewer
-    than k. The true neighbours lie within it, so beyond it no pair needs sorting."""
-    of = max(1, int((n / k) ** 0.5)) if n else 1
-    some = refs.where(F.pmod(F.xxhash64("ref_id"), F.lit(of)) == 0)
-    q = _as_queries(block, qid, names)
-    met = some.crossJoin(F.broadcast(q))
-    if not_self:
-        met = met.where(F.col(not_self) != F.col("qid"))
-    best = _nearest(met.select("qid", _distance(q, some, names).alias("dist")), k, F.col("dist").asc_nulls_last())
-    return best.groupBy("qid").agg(F.when(F.count("dist") == k, F.max("dist")).alias("bound"))
+@dataclass
+class _Best:
+    """The k best of each (query, probe) among the rows met so far: arrays by number of query."""
+
+    k: int
+    parts: list[tuple] = field(default_factory=list)
+
+    def add(self, asked: np.ndarray, points: np.ndarray, probe: np.ndarray, ref: dict[str, np.ndarray], x: np.ndarray, me: np.ndarray | None) -> None:
+        """asked, points, probe: numbers, vectors and probe ranks of queries; ref: columns of the rows of x; me: what each query's own row
+        has as "self" there."""
+        for i, j in candidates(points, x, self.k + (me is not None)):
+            apart = np.ones(len(i), bool) if me is None else ref["self"][j] != me[i]
+            i, j = i[apart], j[apart]
+            dist = exact(points[i], x[j])
+            some = best(self.k, i, dist, ref["pos"][j])
+            i, j = i[some], j[some]
+            self.parts.append((asked[i], probe[i], ref["ref_id"][j], ref["pos"][j], ref["is_fraud"][j], dist[some]))
+        if sum(len(p[0]) for p in self.parts) > 200_000:
+            self.parts = [self.all()]
+
+    def all(self) -> tuple:
+        if not self.parts:
+            return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool), np.zeros(0))
+        every = tuple(np.concatenate(c) for c in zip(*self.parts, strict=True))
+        some = best(self.k, every[0] << 16 | every[1], every[5], every[3])
+        return tuple(c[some] for c in every)
+
+    def rows(self, qids: pa.Array | pa.ChunkedArray) -> pa.RecordBatch:
+        qids = qids.combine_chunks() if isinstance(qids, pa.ChunkedArray) else qids
+        asked, probe, *rest, dist = self.all()
+        last = pa.array(dist, pa.float64(), from_pandas=True)  # NaN is null
+        made = [qids.take(pa.array(asked, pa.int64())), pa.array(probe.astype(np.int32)), pa.array(rest[0], pa.int64()), pa.array(rest[1], pa.int64()), pa.array(rest[2].astype(bool)), last]
+        return pa.RecordBatch.from_arrays(made, names=["qid", *(n for n, _ in FOUND)])
+
+
+def _compare(refs: DataFrame, names: Sequence[str], asked: DataFrame, k: int, not_self: str | None) -> DataFrame:
+    """The k nearest of each row of asked (qid, cluster, probe_rank, q_*) among the references of its cluster; -1: among all. Ties go by
+    pos."""
+    spark, q_names = refs.sparkSession, [f"q_{n}" for n in names]
+    wide = [F.col(n).cast("double").alias(n) for n in names]
+    kind = asked.schema["qid"].dataType
+    schema = T.StructType([T.StructField("qid", kind), *(T.StructField(n, t) for n, t in FOUND)])
+    own = (F.col(not_self) if not_self else F.lit(None)).cast(kind)
+    in_clusters = "cluster" in refs.columns
+    cluster = F.col("cluster").cast("int") if in_clusters else F.lit(-1)
+    rows = refs.select(F.col("ref_id").cast("bigint").alias("ref_id"), F.col("pos").cast("bigint").alias("pos"), F.coalesce("is_fraud", F.lit(False)).alias("is_fraud"), own.alias("self"), cluster.alias("cluster"), *wide)
+    asked = asked.select("qid", F.col("cluster").cast("int").alias("cluster"), F.col("probe_rank").cast("int").alias("probe_rank"), *[F.col(n).cast("double").alias(n) for n in q_names])
+    rows, asked = rows.where("cluster is not null"), asked.where("cluster is not null")
+    few = asked.limit(MOST_QUERIES + 1).toArrow()
+
+    def ref_of(t: pa.Table | pa.RecordBatch) -> dict[str, np.ndarray]:
+        return {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("ref_id", "pos", "is_fraud", "self")}
+
+    if len(few) <= MOST_QUERIES:
+        (of, probe), qids = (few.column(c).to_numpy() for c in ("cluster", "probe_rank")), few.column("qid").combine_chunks()
+        me = qids.to_numpy(zero_copy_only=False)
+        points = columns(few, q_names)
+        probed = np.unique(of).tolist()
+        by = {c: np.flatnonzero(of == c) for c in probed}
+        if probed != [-1]:
+            rows = rows.where(F.col("cluster").isin(probed))  # known clusters, so row groups of a sorted index are left out
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = _Best(k)
+            for b in batches:
+                x, ref, at = columns(b, names), ref_of(b), b.column("cluster").to_numpy()
+                for c in [-1] if probed == [-1] else np.unique(at).tolist():
+                    here, who = np.arange(len(x)) if c == -1 else np.flatnonzero(at == c), by[c]
+                    found.add(who, points[who], probe[who], {n: v[here] for n, v in ref.items()}, x[here], me[who] if not_self else None)
+            yield found.rows(qids)
+
+        if not len(few):
+            return spark.createDataFrame([], schema)
+        if probed == [-1]:
+            # A table that is small for a scan, and so in few partitions, can still be much work.
+            n = refs.count()
+            tasks = min(4096, -(-n * len(few) // PAIRS_PER_TASK))
+            rows = rows.repartition(tasks, "ref_id") if tasks > max(1, n // ROWS_PER_SPLIT) else rows
+        return rows.mapInArrow(run, schema)
+
+    clusters = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    asks = asked.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    cut = clusters.join(asks, "cluster").select("cluster", F.ceil(F.col("n") / BLOCK).alias("rb"), F.ceil(F.col("m") / MOST_QUERIES).alias("qb"))
+    # At most as many rows as clusters.
+    cut = F.broadcast(cut)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    left = rows.join(cut, "cluster").withColumn("b", F.pmod(F.xxhash64("ref_id"), F.col("rb"))).withColumn("c", each("qb"))
+    left = left.select("cluster", "b", "c", F.lit(1).alias("role"), "ref_id", "pos", "is_fraud", "self", nothing(kind).alias("qid"), nothing("int").alias("probe_rank"), *names)
+    right = asked.join(cut, "cluster").withColumn("c", F.pmod(F.xxhash64("qid"), F.col("qb"))).withColumn("b", each("rb"))
+    right = right.select("cluster", "b", "c", F.lit(0).alias("role"), nothing("bigint").alias("ref_id"), nothing("bigint").alias("pos"), nothing("boolean").alias("is_fraud"), nothing(kind).alias("self"), "qid", "probe_rank", *[F.col(f"q_{n}").alias(n) for n in names])
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        role = t.column("role").to_numpy()
+        q, r = t.filter(pa.array(role == 0)), t.filter(pa.array(role == 1))
+        found = _Best(k)
+        qids = q.column("qid")
+        if len(q) and len(r):
+            found.add(np.arange(len(q)), columns(q, names), q.column("probe_rank").to_numpy().astype(np.int64), ref_of(r), columns(r, names), qids.to_numpy(zero_copy_only=False) if not_self else None)
+        return found.rows(qids)
+
+    return by_group(left.unionByName(right), ["cluster", "b", "c"], ["role"], work, schema)
 
 
 def brute(queries: DataFrame, refs: DataFrame, names: Sequence[str], qid: str = "qid", k: int = 5, not_self: str | None = None) -> DataFrame:
-    """qid, rank, ref_id, pos, is_fraud, dist: the k nearest by (dist, pos). not_self: a column of refs never matched to the same
-    qid. All pairs are computed, but only those within a bound from a part of the references are ranked."""
-
-    n, total = refs.count(), queries.count()
-    refs = _spread_out(refs, n, min(total, MOST_BROADCAST))
-
-    def part(block: DataFrame) -> DataFrame:
-        bounds = _bounds(block, refs, n, names, qid, k, not_self)
-        q = _as_queries(block, qid, names).join(bounds, "qid", "left")
-        met = refs.crossJoin(F.broadcast(q))
-        if not_self:
-            met = met.where(F.col(not_self) != F.col("qid"))
-        pairs = met.select("qid", "bound", "ref_id", "pos", "is_fraud", _distance(q, refs, names).alias("dist"))
-        return pairs.where(F.col("bound").isNull() | (F.col("dist") <= F.col("bound"))).drop("bound")
-
-    pairs = reduce(DataFrame.unionByName, [part(b) for b in _blocks(queries, qid, total)])
-    return _nearest(pairs, k, F.col("dist").asc_nulls_last(), F.col("pos")).select("qid", "rank", "ref_id", "pos", "is_fraud", "dist")
+    """qid, rank, ref_id, pos, is_fraud, dist: the k nearest by (dist, pos). not_self: a whole-number column of refs never matched to
+    the same qid."""
+    asked = _as_queries(queries, qid, names).withColumns({"cluster": F.lit(-1), "probe_rank": F.lit(0)})
+    found = _compare(refs.drop("cluster"), names, asked, k, not_self)
+    return _nearest(found, k, F.col("dist").asc_nulls_last(), F.col("pos")).select("qid", "rank", "ref_id", "pos", "is_fraud", "dist")
 
 
 def single(query: DataFrame, refs: DataFrame, names: Sequence[str], qid: str = "qid", k: int = 5, not_self: str | None = None) -> DataFrame:
@@ -109,21 +182,12 @@ def ivf(queries: DataFrame, refs: DataFrame, centroids: DataFrame, names: Sequen
     """The k nearest among the probed clusters. Equal distances go by the nearer cluster first; within it by position, which
     counts downwards for f16 indexes (their clusters' best are merged from the worst on) and upwards for f32 ones."""
 
-    def part(block: DataFrame) -> DataFrame:
-        found = probes(block, centroids, names, qid, nprobe)
-        met = refs.join(F.broadcast(found), "cluster")
-        if not_self:
-            met = met.where(F.col(not_self) != F.col("qid"))
-        return met.select("qid", "probe_rank", "ref_id", "pos", "is_fraud", _distance(found, refs, names).alias("dist"))
-
-    pairs = reduce(DataFrame.unionByName, [part(b) for b in _blocks(queries, qid, queries.count(), max(1, MOST_BROADCAST // max(1, min(nprobe, 64))))])
+    found = _compare(refs, names, probes(queries, centroids, names, qid, nprobe), k, not_self)
+    order = F.col("pos")
     if dtype == "f16":
-        within = F.row_number().over(Window.partitionBy("qid", "probe_rank").orderBy("dist", "pos"))
-        pairs = pairs.withColumn("within", within).where(F.col("within") <= k).drop("within")
-        best = _nearest(pairs, k, F.col("dist"), F.col("probe_rank"), F.col("pos").desc())
-    else:
-        best = _nearest(pairs, k, F.col("dist"), F.col("probe_rank"), F.col("pos"))
-    return best.select("qid", "rank", "ref_id", "pos", "is_fraud", "dist")
+        within = F.row_number().over(Window.partitionBy("qid", "probe_rank").orderBy(F.col("dist").asc_nulls_last(), "pos"))
+        found, order = found.withColumn("within", within).where(F.col("within") <= k).drop("within"), order.desc()
+    return _nearest(found, k, F.col("dist").asc_nulls_last(), F.col("probe_rank"), order).select("qid", "rank", "ref_id", "pos", "is_fraud", "dist")
 
 
 def recall(found: DataFrame, true: DataFrame, k: int = 5) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,11 @@ class Index:
     refs: DataFrame  # ref_id, cluster, pos, v0.., is_fraud
     centroids: DataFrame | None  # cluster, v0..
     meta: DataFrame
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        for df in self.cached:
+            df.unpersist()
 
 
 def write_index(index: Index, path: str, partitions: int | None = None) -> None:
@@ -31,6 +36,7 @@ def write_index(index: Index, path: str, partitions: int | None = None) -> None:
     if index.centroids is not None:
         index.centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
     index.meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    index.release()
 
 
 def read_index(spark: SparkSession, path: str) -> Index:

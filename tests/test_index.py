@@ -43,7 +43,7 @@ def test_training_follows_a_plain_version(spark):
     c, of, iters = plain_kmeans(x, 7, 6, 0.0005, 42)
     got = kmeans.train(refs, NAMES, 7, 6, 0.0005, 42)
     assert got.iters == iters
-    assert [r["cluster"] for r in got.assigned.orderBy("ref_id").collect()] == of.tolist()
+    assert [r["cluster"] for r in got.assigned(refs, NAMES).orderBy("ref_id").collect()] == of.tolist()
     assert np.array([[r[n] for n in NAMES] for r in got.centroids]) == pytest.approx(c, abs=1e-6)
 
 
@@ -52,7 +52,7 @@ def test_training_edges(spark):
     with pytest.raises(ValueError):
         kmeans.train(refs, NAMES, 21)
     none = kmeans.train(refs, NAMES, 3, max_iter=0)
-    assert {r["cluster"] for r in none.assigned.collect()} == {0}
+    assert {r["cluster"] for r in none.assigned(refs, NAMES).collect()} == {0}
     old = spark.createDataFrame([(0, 0.0), (1, 5.0)], "cluster int, v0 float")
     moved = {r["cluster"]: (r["n"], r["v0"], r["change"]) for r in kmeans.update(old, spark.createDataFrame([(0, 2, 1.0)], "cluster int, n long, v0 float"), ["v0"]).collect()}
     assert moved == {0: (2, 1.0, 1.0), 1: (0, 5.0, 0.0)}
@@ -83,6 +83,23 @@ def test_index_round_trip_and_summary(spark, tmp_path):
     assert flat.centroids is None and flat.refs.where("pos <> ref_id").count() == 0
 
 
+def test_places_do_not_depend_on_stretches(spark, monkeypatch):
+    monkeypatch.setattr(kmeans, "STRETCH", 7)
+    rows = [(i, i * i % 5, f"x{i}") for i in random.sample(range(100), 60)]
+    got = kmeans.clustered(spark.createDataFrame(rows, "ref_id long, cluster int, more string")).collect()
+    want = {r[0]: (pos, r[2]) for pos, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert {r["ref_id"]: (r["pos"], r["more"]) for r in got} == want
+
+
+def test_nearest_points_with_ties_equal_all_distances():
+    rng = np.random.default_rng(2)
+    points = rng.integers(0, 3, (40, 5)).astype(float)
+    x = np.concatenate([rng.integers(0, 3, (900, 5)).astype(float), rng.random((900, 5)), 1e6 + rng.random((50, 5))])
+    near, least = kmeans.nearest(x, points)
+    every = np.stack([kmeans.exact(x, np.broadcast_to(p, x.shape)) for p in points], 1)
+    assert (near == every.argmin(1)).all() and (least == every.min(1)).all()
+
+
 def test_offsets_list_empty_clusters(spark):
     assigned = spark.createDataFrame([(0, 2), (1, 0), (2, 2)], "ref_id long, cluster int")
     clusters = spark.createDataFrame([(i,) for i in range(4)], "cluster int")

@@ -77,11 +77,17 @@ def test_few_references_and_queries_without_any(spark):
     assert knn.brute(asked.where("false"), table, NAMES).count() == 0
 
 
-def test_blocks_of_queries_give_the_same(spark, monkeypatch):
-    asked, table = ask(spark, *[(float(i), 0.0) for i in range(7)]), refs(spark, [(i, 0, i, float(i), 0.5, False) for i in range(20)])
-    whole = ids(knn.brute(asked, table, NAMES))
-    monkeypatch.setattr(knn, "_blocks", lambda q, qid, total, most=2: [q.where(F.pmod(F.xxhash64(qid), F.lit(3)) == i) for i in range(3)])
-    assert ids(knn.brute(asked, table, NAMES)) == whole
+def test_many_queries_give_the_same_by_blocks(spark, monkeypatch):
+    random.seed(7)
+    rows = [(i, i % 4, i, float(random.randint(0, 9)), random.random(), i % 3 == 0) for i in range(300)]
+    asked, table = ask(spark, *[(float(i % 10), 0.5) for i in range(40)]), refs(spark, rows)
+    centroids = spark.createDataFrame([(c, 3.0 * c, 0.5) for c in range(4)], "cluster int, v0 float, v1 float")
+    plans = [lambda: knn.brute(asked, table, NAMES), lambda: knn.brute(asked, table, NAMES, not_self="ref_id"), *(lambda t=t: knn.ivf(asked, table, centroids, NAMES, nprobe=2, dtype=t) for t in ("f16", "f32"))]
+    whole = [ids(p()) for p in plans]
+    assert all(len(w) == 40 for w in whole)
+    monkeypatch.setattr(knn, "MOST_QUERIES", 7)
+    monkeypatch.setattr(knn, "BLOCK", 50)
+    assert [ids(p()) for p in plans] == whole
 
 
 def test_single_matches_brute(spark):
@@ -95,10 +101,10 @@ def test_recall(spark):
     assert knn.recall(found, true).first().asDict() == {"queries": 2, "hits": 3, "recall": pytest.approx(0.75)}
 
 
-def test_distance_stays_in_generated_code_and_k_is_cut_before_the_shuffle(spark):
+def test_references_stay_and_k_is_cut_before_the_shuffle(spark):
     asked, table = ask(spark, (0.0, 0.0)), refs(spark, [(0, 0, 0, 0.0, 0.0, True)])
     plan = knn.brute(asked, table, NAMES)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Python" not in plan and "Arrow" not in plan
+    assert plan.count("Exchange") == 1 and "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_null_vectors_rank_last(spark):
