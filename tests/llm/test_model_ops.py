@@ -335,6 +335,18 @@ def test_language_stage_parts_gibberish_and_unlearned_languages_from_clean_docum
     assert kept == {r["doc_id"] for r in docs.collect()}
 
 
+def test_pipeline_keeps_columns_that_clash(spark, data, tmp_path):
+    clash = ["score", "_score", "p", "words", "size", "key", "_key", "id", "doc", "row", "base", "live", "cut", "least"]
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumns({c: F.lit(f"my {c}") for c in clash})
+    rows = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = Scratch(spark, "t").put(stage(spark, rows, data), name)
+        assert rows.columns == docs.columns and rows.count() > 100
+        assert [tuple(r) for r in rows.select(*clash).distinct().collect()] == [tuple(f"my {c}" for c in clash)]
+    (name, stage), n = corpus_pipeline.STAGES[-1], rows.count()
+    assert stage(spark, rows, data).select("doc_id").distinct().count() == n
+
+
 def test_pipeline_runs_on_no_rows(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").where("false")
     for name, stage in corpus_pipeline.STAGES:
