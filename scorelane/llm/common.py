@@ -53,12 +53,13 @@ class Scratch:
 
 def meet(rows: DataFrame, table: DataFrame, on: str, size: str, total: int, hot: int = 1000) -> DataFrame:
     """rows joined with table, which has one row per value of on; size is how many of about total rows have that value. Values with
-    more than total / hot rows, at most hot of them, come by a broadcast, so no task gets all rows of such a value. The column
-    size stays. table is read three times: write it first."""
-    often = max(1, total // hot)
-    few = F.broadcast(table.where(F.col(size) > often))
-    rest = rows.join(F.broadcast(few.select(on)), on, "left_anti").join(table.where(F.col(size) <= often), on)
-    return rows.join(few, on).unionByName(rest)
+    more than total / hot rows, at most hot of them, are taken out by name and come by a broadcast, so no task gets all rows of
+    such a value. The column size stays. table is read several times: write it first."""
+    often = [r[0] for r in table.where(F.col(size) > max(1, total // hot)).select(on).collect()]
+    if not often:
+        return rows.join(table, on)
+    named = F.col(on).isin(often)
+    return rows.where(named).join(F.broadcast(table.where(named)), on).unionByName(rows.where(~named).join(table.where(~named), on))
 
 
 def by_batch(run: Callable[[Iterator], Iterator[pa.Array]], returns: str, *columns: Column) -> Column:
