@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     score.add_argument("--input", required=True)
     score.add_argument("--index", required=True)
     score.add_argument("--output", required=True)
-    score.add_argument("--strict", action="store_true")
+    score.add_argument("--lenient", action="store_true", help="accept numbers for texts, repeated names, and text after the object")
     test = commands.add_parser("evaluate", help="a file of test entries to results; latency is the batch's time by entry")
     test.add_argument("--input", required=True)
     test.add_argument("--index", required=True)
@@ -51,8 +51,11 @@ def main(argv: list[str] | None = None) -> int:
     index, config = read_index(spark, args.index), Config.from_env()
     dtype = index.meta.first()["dtype"]
     if args.command == "score":
-        asked = read_requests(spark, args.input).withColumn("qid", F.monotonically_increasing_id())
-        score_requests(asked, index, config, strict=args.strict, dtype=dtype).write.mode("overwrite").parquet(args.output)
+        # Ids must not change between the reads of the requests, so they are written first.
+        at = f"{args.output}_requests"
+        read_requests(spark, args.input).select(F.uuid().alias("qid"), "body").write.mode("overwrite").parquet(at)
+        asked = spark.read.parquet(at)
+        score_requests(asked, index, config, strict=not args.lenient, dtype=dtype).write.mode("overwrite").parquet(args.output)
         return 0
     entries, _ = read_test_entries(spark, args.input)
     asked = entries.select(F.col("entry").alias("qid"), F.to_json("request", {"ignoreNullFields": "true"}).alias("body"), "expected_approved")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 DIMS = 14
 TRUE_WORDS = frozenset({"1", "true", "yes", "on"})
@@ -66,6 +67,17 @@ class Config:
         )
 
 
+    @classmethod
+    def from_files(cls, mcc_risk: str, limits: str, **more: object) -> Config:
+        """With the risks and limits of two JSON files: an object of risks by category code, and one of the limits by name. A limit that
+        the file lacks is an error, as is a risk that is no number."""
+        with open(mcc_risk, encoding="utf-8") as file:
+            risks = {str(k): float(v) for k, v in json.load(file).items()}
+        with open(limits, encoding="utf-8") as file:
+            found = json.load(file)
+        return cls(limits=Limits(**{f.name: float(found[f.name]) for f in fields(Limits)}), mcc_risk=risks, **more)
+
+
 @dataclass(frozen=True)
 class BuildConfig:
     dtype: str = "f16"

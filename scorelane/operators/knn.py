@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelane.functions.math_expr import squared_distance
-from scorelane.operators.blocks import best, by_group, candidates, columns, exact
+from scorelane.operators.blocks import best, by_group, candidates, columns, exact, exact_single
 
 MOST_QUERIES = 20_000  # that go to every task
 MOST_BROADCAST = 20_000  # rows of a broadcast side
@@ -51,15 +51,16 @@ class _Best:
     """The k best of each (query, probe) among the rows met so far: arrays by number of query."""
 
     k: int
+    single: bool = False
     parts: list[tuple] = field(default_factory=list)
 
     def add(self, asked: np.ndarray, points: np.ndarray, probe: np.ndarray, ref: dict[str, np.ndarray], x: np.ndarray, me: np.ndarray | None) -> None:
         """asked, points, probe: numbers, vectors and probe ranks of queries; ref: columns of the rows of x; me: what each query's own row
         has as "self" there."""
-        for i, j in candidates(points, x, self.k + (me is not None)):
+        for i, j in candidates(points, x, self.k + (me is not None), 1e-5 if self.single else 1e-9):
             apart = np.ones(len(i), bool) if me is None else ref["self"][j] != me[i]
             i, j = i[apart], j[apart]
-            dist = exact(points[i], x[j])
+            dist = (exact_single if self.single else exact)(points[i], x[j])
             some = best(self.k, i, dist, ref["pos"][j])
             i, j = i[some], j[some]
             self.parts.append((asked[i], probe[i], ref["ref_id"][j], ref["pos"][j], ref["is_fraud"][j], dist[some]))
@@ -81,7 +82,7 @@ class _Best:
         return pa.RecordBatch.from_arrays(made, names=["qid", *(n for n, _ in FOUND)])
 
 
-def _compare(refs: DataFrame, names: Sequence[str], asked: DataFrame, k: int, not_self: str | None) -> DataFrame:
+def _compare(refs: DataFrame, names: Sequence[str], asked: DataFrame, k: int, not_self: str | None, single_precision: bool) -> DataFrame:
     """The k nearest of each row of asked (qid, cluster, probe_rank, q_*) among the references of its cluster; -1: among all. Ties go by
     pos."""
     spark, q_names = refs.sparkSession, [f"q_{n}" for n in names]
@@ -109,7 +110,7 @@ def _compare(refs: DataFrame, names: Sequence[str], asked: DataFrame, k: int, no
             rows = rows.where(F.col("cluster").isin(probed))  # known clusters, so row groups of a sorted index are left out
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = _Best(k)
+            found = _Best(k, single_precision)
             for b in batches:
                 x, ref, at = columns(b, names), ref_of(b), b.column("cluster").to_numpy()
                 for c in [-1] if probed == [-1] else np.unique(at).tolist():
@@ -141,7 +142,7 @@ def _compare(refs: DataFrame, names: Sequence[str], asked: DataFrame, k: int, no
     def work(t: pa.Table) -> pa.RecordBatch:
         role = t.column("role").to_numpy()
         q, r = t.filter(pa.array(role == 0)), t.filter(pa.array(role == 1))
-        found = _Best(k)
+        found = _Best(k, single_precision)
         qids = q.column("qid")
         if len(q) and len(r):
             found.add(np.arange(len(q)), columns(q, names), q.column("probe_rank").to_numpy().astype(np.int64), ref_of(r), columns(r, names), qids.to_numpy(zero_copy_only=False) if not_self else None)
@@ -150,11 +151,11 @@ def _compare(refs: DataFrame, names: Sequence[str], asked: DataFrame, k: int, no
     return by_group(left.unionByName(right), ["cluster", "b", "c"], ["role"], work, schema)
 
 
-def brute(queries: DataFrame, refs: DataFrame, names: Sequence[str], qid: str = "qid", k: int = 5, not_self: str | None = None) -> DataFrame:
-    """qid, rank, ref_id, pos, is_fraud, dist: the k nearest by (dist, pos). not_self: a whole-number column of refs never matched to
-    the same qid."""
+def brute(queries: DataFrame, refs: DataFrame, names: Sequence[str], qid: str = "qid", k: int = 5, not_self: str | None = None, single_precision: bool = False) -> DataFrame:
+    """qid, rank, ref_id, pos, is_fraud, dist: the k nearest by (dist, pos). not_self: a column of refs never matched to the same
+    qid. single_precision: distances as an eight-lane kernel sums them, for parity where they nearly tie."""
     asked = _as_queries(queries, qid, names).withColumns({"cluster": F.lit(-1), "probe_rank": F.lit(0)})
-    found = _compare(refs.drop("cluster"), names, asked, k, not_self)
+    found = _compare(refs.drop("cluster"), names, asked, k, not_self, single_precision)
     return _nearest(found, k, F.col("dist").asc_nulls_last(), F.col("pos")).select("qid", "rank", "ref_id", "pos", "is_fraud", "dist")
 
 
@@ -178,11 +179,11 @@ def probes(queries: DataFrame, centroids: DataFrame, names: Sequence[str], qid:
     return ranked.withColumn("probe_rank", rank).where(F.col("probe_rank") <= max(1, min(nprobe, most)))
 
 
-def ivf(queries: DataFrame, refs: DataFrame, centroids: DataFrame, names: Sequence[str], qid: str = "qid", k: int = 5, nprobe: int = 16, dtype: str = "f16", not_self: str | None = None) -> DataFrame:
+def ivf(queries: DataFrame, refs: DataFrame, centroids: DataFrame, names: Sequence[str], qid: str = "qid", k: int = 5, nprobe: int = 16, dtype: str = "f16", not_self: str | None = None, single_precision: bool = False) -> DataFrame:
     """The k nearest among the probed clusters. Equal distances go by the nearer cluster first; within it by position, which
     counts downwards for f16 indexes (their clusters' best are merged from the worst on) and upwards for f32 ones."""
 
-    found = _compare(refs, names, probes(queries, centroids, names, qid, nprobe), k, not_self)
+    found = _compare(refs, names, probes(queries, centroids, names, qid, nprobe), k, not_self, single_precision)
     order = F.col("pos")
     if dtype == "f16":
         within = F.row_number().over(Window.partitionBy("qid", "probe_rank").orderBy(F.col("dist").asc_nulls_last(), "pos"))

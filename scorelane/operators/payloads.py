@@ -23,7 +23,8 @@ def parse(body: Column) -> Column:
 
 
 def strict(body: Column) -> Column:
-    """What the lenient parser lets pass though a strict one wouldn't: text after the object, and numbers where texts belong."""
+    """What the lenient parser lets pass though a strict one wouldn't: text after the object, repeated names, and numbers where
+    texts belong."""
     whole = F.coalesce(body.rlike(r"(?s)^\s*\{.*\}\s*$"), F.lit(False))
     kinds = [F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), f"$.{path}", "variant")) == "STRING", F.lit(False)) for path in TEXTS]
     return whole & reduce(lambda a, b: a & b, kinds)
@@ -42,8 +43,9 @@ def complete(p: Column) -> Column:
     return F.coalesce(p.isNotNull() & reduce(lambda a, b: a & b, checks), F.lit(False))
 
 
-def validate(requests: DataFrame, body: str = "body", is_strict: bool = False) -> DataFrame:
-    """requests with payload (null where rejected) and status (200 or 400)."""
+def validate(requests: DataFrame, body: str = "body", is_strict: bool = True) -> DataFrame:
+    """requests with payload (null where rejected) and status (200 or 400). Not strict: numbers for texts, text after the object and
+    repeated names pass."""
     parsed = requests.withColumn("payload", parse(F.col(body)))
     ok = complete(F.col("payload"))
     if is_strict:

@@ -15,7 +15,7 @@ def neighbours(queries: DataFrame, index: Index, names: list[str], config: Confi
     return knn.brute(queries, index.refs, names, qid, config.k)
 
 
-def score_requests(requests: DataFrame, index: Index, config: Config | None = None, qid: str = "qid", body: str = "body", strict: bool = False, dtype: str = "f16") -> DataFrame:
+def score_requests(requests: DataFrame, index: Index, config: Config | None = None, qid: str = "qid", body: str = "body", strict: bool = True, dtype: str = "f16") -> DataFrame:
     """qid, status, body of each request (columns qid and body; qid is unique)."""
     config = config or Config()
     checked = payloads.validate(requests, body, strict)

@@ -3,6 +3,8 @@ import math
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from scorelane.operators import evaluate
 
 SCHEMA = "expected_approved boolean, approved boolean, status int, latency_ms double"
@@ -45,3 +47,8 @@ def test_pairs_responses_with_expectations(spark):
     expected = spark.createDataFrame([(1, True), (2, False), (3, True)], "qid long, expected_approved boolean")
     got = {r["qid"]: (r["expected_approved"], r["approved"], r["status"]) for r in evaluate.pair(responses, expected).collect()}
     assert got == {1: (True, True, 200), 2: (False, None, 400), 3: (True, None, 0)}
+
+
+def test_approximate_p99_is_within_its_rank(spark):
+    rows = spark.range(20_000).select(F.lit(True).alias("expected_approved"), F.lit(True).alias("approved"), F.lit(200).alias("status"), F.col("id").cast("double").alias("latency_ms"))
+    assert abs(evaluate.confusion(rows, accuracy=1000).first()["p99_ms"] - 19_800) <= 20

@@ -6,7 +6,7 @@ import struct
 import numpy as np
 import pytest
 
-from scorelane.config import BuildConfig, Config
+from scorelane.config import BuildConfig, Config, Limits
 from scorelane.operators import kmeans
 from scorelane.plans.build import build_index
 from scorelane.plans.scoring import score_requests
@@ -185,6 +185,17 @@ def test_config_from_environment():
     assert Config.from_env({"NPROBE": "x"}).nprobe == 16
 
 
+def test_config_from_files(tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"5411": 0.2}))
+    limits = {f: i + 1 for i, f in enumerate(Limits.__dataclass_fields__)}
+    (tmp_path / "n.json").write_text(json.dumps(limits))
+    got = Config.from_files(tmp_path / "m.json", tmp_path / "n.json", nprobe=3)
+    assert got.mcc_risk == {"5411": 0.2} and got.limits.max_installments == 2 and got.nprobe == 3
+    (tmp_path / "n.json").write_text("{}")
+    with pytest.raises(KeyError):
+        Config.from_files(tmp_path / "m.json", tmp_path / "n.json")
+
+
 def test_command_line(spark, tmp_path, capsys):
     from scorelane.__main__ import main
 

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scorelane.operators import knn, score
+from scorelane.operators.blocks import exact_single
 
 NAMES = ["v0", "v1"]
 
@@ -90,6 +92,17 @@ def test_many_queries_give_the_same_by_blocks(spark, monkeypatch):
     assert [ids(p()) for p in plans] == whole
 
 
+def test_single_precision_ranks_by_the_kernel_sum(spark):
+    rng = np.random.default_rng(3)
+    names = [f"v{i}" for i in range(14)]
+    near = rng.random(14).astype(np.float32)
+    x = (near + rng.choice([-1, 1], (400, 14)) * np.float32(0.01) + rng.normal(size=(400, 14)) * 1e-9).astype(np.float32)
+    table = spark.createDataFrame([(i, 0, i, False, *map(float, r)) for i, r in enumerate(x)], "ref_id long, cluster int, pos long, is_fraud boolean, " + ", ".join(f"{n} float" for n in names))
+    asked = spark.createDataFrame([(0, *map(float, near))], "qid long, " + ", ".join(f"{n} float" for n in names))
+    dist = exact_single(np.broadcast_to(near, x.shape), x)
+    assert ids(knn.brute(asked, table, names, single_precision=True))[0] == np.lexsort((np.arange(400), dist))[:5].tolist()
+
+
 def test_single_matches_brute(spark):
     asked, table = ask(spark, (3.2, 0.0)), refs(spark, [(i, 0, i, float(i), 0.5, False) for i in range(20)])
     assert [r["ref_id"] for r in knn.single(asked, table, NAMES).collect()] == ids(knn.brute(asked, table, NAMES))[0]
