@@ -114,6 +114,7 @@ class Bundler:
                     yield i, row
 
         for i, text in enumerate(texts):
+            text = text if text and any(map(str.isalpha, text)) else None  # marks alone are no letters
             pieces = list(self.grams(text)) if text and len(text) <= PIECE else None
             if pieces is None and text:
                 total = None

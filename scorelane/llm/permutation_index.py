@@ -74,12 +74,14 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     rows = scratch.put(rows.where("key is not null and v is not null").withColumn("d", F.octet_length("v")), "rows")
     sizes = scratch.put(rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "sizes", 1)
     total = sizes.agg(F.sum("n")).first()[0] or 0
+    of = lambda part: meet(part, sizes, "d", "n", total)
+    own = of(rows.select("d", "key", "v"))
+    # Of a large table about 4 * pivots rows stand for election, whatever the number of tasks.
+    chance = F.pmod(F.xxhash64("v", "key"), F.lit(1 << 30)) / float(1 << 30) * F.col("n") < 4.0 * pivots
     place = F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("key", "v"), "key", "v"))
-    picked = rows.select("d", "key", "v").withColumn("at", place).where(F.col("at") <= pivots)
+    picked = own.where(chance).select("d", "key", "v").withColumn("at", place).where(F.col("at") <= pivots)
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")
-    of = lambda part: meet(part, sizes, "d", "n", total)
     part = lambda df, b, role: df.select("d", b, F.lit(role).alias("role"), "n", "blocks", "key", "v")
-    own = of(rows.select("d", "key", "v"))
     met = part(own, F.pmod(F.xxhash64("key", "v"), F.col("blocks")).cast("int").alias("b"), ROW)
     met = met.unionByName(part(of(picked), every, PIVOT)).unionByName(part(of(rows.where("asks").select("d", "key", "v").distinct()), every, QUERY))
 

@@ -57,6 +57,19 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
 
 
+# All pairs by their common shingles; words hold no space, so joined shingles differ as their words do.
+OP5_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as x from d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) t(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.x = b.x and a.doc_id <> b.doc_id group by all),
+links as (select a, b from common join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+reach(doc_id, r) as (select doc_id, doc_id from d union select links.b, reach.r from reach join links on links.a = reach.doc_id),
+least as (select doc_id, min(r) as component_id from reach group by doc_id)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from least left join n using (doc_id)
+"""
+
+
 def op6_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return permutation_index.search(vectors, F.col("vec_id") % 50 == 0)
@@ -71,6 +84,17 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+OP8_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+n as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as size from v),
+u as (select * from n where size > 0),
+links as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+reach(vec_id, r) as (select vec_id, vec_id from embeddings union select links.b, reach.r from reach join links on links.a = reach.vec_id),
+least as (select vec_id, min(r) as component_id from reach group by vec_id), linked as (select a as vec_id, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from least left join linked using (vec_id)
+"""
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = Scratch(spark, "secrets").put(secret_scan.find_candidates(docs, repo=F.sha2("text", 256), keep=["doc_id"]), "found")
@@ -170,4 +194,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op9_secret_scan": _op9_sql()}
+SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op5_minhash_dedup": OP5_SQL, "op8_vector_dedup": OP8_SQL, "op9_secret_scan": _op9_sql()}

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -220,7 +221,7 @@ def test_language_held_out(spark, data):
 def test_language_edges(spark):
     rows = [(i, t, lang, 0) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("привет мир как дела", "ru"), ("lost", None)] * 5)]
     model = lang_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string, score int"))
-    texts = [None, "", "123 !? 456", "the dog", "die katze", "как дела мир", "the dog " * 300_000]
+    texts = [None, "", "123 !? \u0301\u0308 456", "the dog", "die katze", "как дела мир", "the dog " * 300_000]
     asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = [r["p"] for r in asked.orderBy("i").select("i", lang_id.predict(model, F.col("text")).alias("p")).orderBy("i").collect()]
     assert [g["lang"] for g in got] == ["und", "und", "und", "en", "de", "ru", "en"]
@@ -229,6 +230,29 @@ def test_language_edges(spark):
     assert asked.select(lang_id.predict(none, F.col("text")).alias("p")).where("p.lang <> 'und'").count() == 0
 
 
+def test_bundles_against_single_ngrams():
+    letters = np.random.default_rng(1).choice(np.float32([-1, 1]), (lang_id.ALPHABET, 64))
+    texts = ["Über 12 Wölfe, ja!", "a", "x y", " привет  мир "]
+    got = dict(lang_id.Bundler(3, 64, 1).vectors(texts))
+    for t, text in enumerate(texts):
+        codes = [0]
+        for c in text.lower():
+            code = int(lang_id._codes()[ord(c)])
+            codes += [code] if code or codes[-1] else []
+        codes += [0] * (codes[-1] != 0)
+        want = sum(np.prod([np.roll(letters[codes[i + k]], 2 - k) for k in range(3)], axis=0) for i in range(len(codes) - 2))
+        assert np.allclose(got[t], want)
+
+
+@pytest.mark.parametrize("name", ["op5_minhash_dedup", "op8_vector_dedup"])
+def test_near_duplicate_queries_match_sql(spark, name):
+    data, c = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+    want = sorted(c.sql(queries.SQL[name]).fetchall())
+    assert sorted(map(tuple, queries.QUERIES[name](spark, data).collect())) == want
+
+
 def test_pieces_of_long_texts_bundle_like_the_whole(monkeypatch):
     text = "Überall flogen Vögel, 12 davon; and the others sang. " * 30
     whole = dict(lang_id.Bundler(3, 64, 1).vectors([text]))[0]

@@ -98,6 +98,16 @@ def test_bpe_equals_tiktoken(spark, ranks, tik, most_words):
     assert bpe.encode(docs.where("false"), ranks, P.PATTERN).count() == 0
 
 
+def test_bpe_query_against_the_library_on_the_table(spark, tik):
+    data = "/root/testdata/sf0.01"
+    want = {}
+    for i, t in duckdb.sql(f"select doc_id, text from '{data}/documents.parquet'").fetchall():
+        ids = np.array(tik.encode_ordinary(t or ""), "<u4")
+        want[i] = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    got = queries.QUERIES["op2_byte_bpe"](spark, data).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == want
+
+
 def test_fold_in_spark_equals_the_library_and_the_python_fold(spark, ranks, tik):
     random.seed(2)
     words = ["".join(random.choice("abtheonr éx") for _ in range(random.randint(1, 30))).encode() for _ in range(300)] + [b"a", b"the", b"aaaaaaaaaaaaaaaa"]
