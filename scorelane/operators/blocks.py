@@ -47,8 +47,12 @@ def candidates(x: np.ndarray, points: np.ndarray, k: int, loss: float = 1e-9) ->
         part = x[at : at + CHUNK]
         own = (part * part).sum(1)
         far = own[:, None] + size[None, :] - 2 * (part @ points.T)
-        far[np.isnan(far)] = np.inf
-        edge = np.partition(far, k - 1, axis=1)[:, k - 1] if k < len(points) else np.full(len(part), np.inf)
+        if not (np.isfinite(own).all() and np.isfinite(size).all()):
+            far[np.isnan(far)] = np.inf
+        if k >= len(points):
+            edge = np.full(len(part), np.inf)
+        else:
+            edge = far.min(axis=1) if k == 1 else np.partition(far, k - 1, axis=1)[:, k - 1]
         i, j = np.nonzero(far <= (edge + slack + loss * np.nan_to_num(own))[:, None])
         yield i + at, j
 
