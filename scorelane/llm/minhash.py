@@ -165,7 +165,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int,
     """Of pairs (u, v), those whose full sets are similar enough; written. Only the texts concerned are read on."""
     pairs = scratch.put(pairs, f"{name}_pairs", tasks)
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    texts = _among(texts, pairs.select(F.explode(F.array("u", "v")).alias("key")), 2 * pairs.count())
+    texts = _among(texts, pairs.select(F.col("u").alias("key")).distinct().unionByName(pairs.select(F.col("v").alias("key")).distinct()), 2 * pairs.count())
     sets = scratch.put(texts.select("key", _sets(words, F.col("text")).alias("set")), f"{name}_sets").dropDuplicates(["key"])
     one = pairs.join(sets.select(F.col("key").alias("v"), F.col("set").alias("sv")), "v")
     two = one.join(sets.select(F.col("key").alias("u"), F.col("set").alias("su")), "u")
