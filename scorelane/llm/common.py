@@ -1,56 +1,20 @@
-"""What the operators share: table access, shared scratch tables, and stable row keys."""
+"""What the operators share: table access, joins, and stable row keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelane.scratch import Scratch, scratch_dir  # noqa: F401  for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    A local session without that setting gets a temporary folder; a cluster session without it is refused.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="scorelane-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-class Scratch:
-    """Written tables under one shared folder. They cut lineage, survive executors, and go with ``drop``."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.kept = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", set()
-
-    def put(self, df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
-        """tasks: in how many files to put a table that is known to be small."""
-        path = f"{self.root}/{name}"
-        self.kept.add(name)
-        (df.repartition(tasks) if tasks else df).write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def names(self) -> set[str]:
-        return set(self.kept)
-
-    def drop(self, name: str = "") -> None:
-        self.kept.discard(name)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def meet(rows: DataFrame, table: DataFrame, on: str, size: str, total: int, hot: int = 1000) -> DataFrame:
     """rows joined with table, which has one row per value of on; size is how many of about total rows have that value. Values with
     more than total / hot rows, at most hot of them, are taken out by name and come by a broadcast, so no task gets all rows of

@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from scorelane.functions.math_expr import half
-from scorelane.operators.blocks import best, candidates, columns, exact
+from scorelane.operators.blocks import CHUNK, best, candidates, cluster_points, columns, exact
 
-MOST_CENTROIDS = 65_536
 STRETCH = 65_536
+PAIRS_PER_TASK = 10_000_000  # rows and centroids that one task compares in a round
+ROWS_PER_SPLIT = 500_000
+IN_CACHE = 1 << 17  # distances that are worked on at once: 1 MB
 MASK = (1 << 64) - 1
 
 
@@ -48,7 +50,7 @@ def assign(refs: DataFrame, centroids: DataFrame, names: Sequence[str], keep: Se
     matrix product leaves those that can be nearest, which are summed exactly, in double precision from left to right. There is
     neither a shuffle nor a row per pair.
     """
-    number, points = _points(centroids, names)
+    number, points = cluster_points(centroids, names)
     kept = refs.select("ref_id", *keep)
     rows = refs.select("ref_id", *keep, *[F.col(n).cast("double").alias(f"_{n}") for n in names])
     kind = centroids.schema["cluster"].dataType
@@ -64,22 +66,28 @@ def assign(refs: DataFrame, centroids: DataFrame, names: Sequence[str], keep: Se
     return rows.mapInArrow(run, schema)
 
 
-def _points(centroids: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    cs = centroids.select("cluster", *[F.col(n).cast("double").alias(n) for n in names]).limit(MOST_CENTROIDS + 1).collect()
-    if len(cs) > MOST_CENTROIDS:
-        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
-    cs.sort(key=lambda r: r["cluster"])
-    return np.array([r["cluster"] for r in cs], np.int64), np.array([[r[n] for n in names] for r in cs], float).reshape(len(cs), len(names))
-
-
 def nearest(x: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the number of the nearest point, ties to the lesser, and its squared distance."""
+    """Of each row the number of the nearest point, ties to the lesser, and its squared distance. Most rows have one point alone that
+    can be nearest by a matrix product; the others compare exactly."""
     near, least = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
-    if len(points):
-        for i, j in candidates(x, points, 1):
-            dist = exact(x[i], points[j])
-            some = best(1, i, dist, j)
-            near[i[some]], least[i[some]] = j[some], dist[some]
+    if not len(points):
+        return near, least
+    size, own = (points * points).sum(1), (x * x).sum(1)
+    open_ = np.ones(len(x), bool)
+    if np.isfinite(size).all() and np.isfinite(own).all():
+        twice, slack, chunk = np.ascontiguousarray(-2 * points.T), 1e-9 * (1 + size.max()), max(1, min(CHUNK, IN_CACHE // len(points)))
+        for at in range(0, len(x), chunk):
+            far = x[at : at + chunk] @ twice + size
+            here = near[at : at + chunk] = far.argmin(1)
+            edge = far[np.arange(len(far)), here] + slack + 1e-9 * own[at : at + chunk]
+            open_[at : at + chunk] = np.count_nonzero(far <= edge[:, None], axis=1) > 1
+        least[:] = exact(x, points[near])
+    rows = np.flatnonzero(open_)
+    near[rows], least[rows] = 0, np.inf
+    for i, j in candidates(x[rows], points, 1):
+        dist = exact(x[rows[i]], points[j])
+        some = best(1, i, dist, j)
+        near[rows[i[some]]], least[rows[i[some]]] = j[some], dist[some]
     return near, least
 
 

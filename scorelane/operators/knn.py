@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scorelane.functions.math_expr import squared_distance
-from scorelane.operators.blocks import best, by_group, candidates, columns, exact, exact_single
+from scorelane.operators.blocks import best, by_group, candidates, cluster_points, columns, exact, exact_single
 
 MOST_QUERIES = 20_000  # that go to every task
 MOST_BROADCAST = 20_000  # rows of a broadcast side
@@ -170,13 +171,28 @@ def single(query: DataFrame, refs: DataFrame, names: Sequence[str], qid: str = "
 
 def probes(queries: DataFrame, centroids: DataFrame, names: Sequence[str], qid: str = "qid", nprobe: int = 16, most: int = 64) -> DataFrame:
     """qid, cluster, probe_rank and the query's columns: the nearest centroids, ties to the smaller cluster. nprobe is held
-    between 1 and the lesser of most and the number of centroids."""
+    between 1 and the lesser of most and the number of centroids. Centroids go to every task, and queries are compared with
+    them in blocks of arrays, so there is neither a row per query and centroid nor a shuffle."""
+    number, points = cluster_points(centroids, names)
     q = _as_queries(queries, qid, names)
-    met = q.crossJoin(F.broadcast(centroids))
-    dist = squared_distance([q[f"q_{n}"] for n in names], [centroids[n] for n in names])
-    ranked = met.select("qid", "cluster", *[f"q_{n}" for n in names], dist.alias("probe_dist"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("probe_dist", "cluster"))
-    return ranked.withColumn("probe_rank", rank).where(F.col("probe_rank") <= max(1, min(nprobe, most)))
+    q_names, kind = [f"q_{n}" for n in names], centroids.schema["cluster"].dataType
+    wide = q.select(*q.columns, *[F.col(n).cast("double").alias(f"_{n}") for n in q_names])
+    schema = T.StructType([q.schema["qid"], T.StructField("cluster", kind), *(q.schema[n] for n in q_names), T.StructField("probe_dist", T.DoubleType()), T.StructField("probe_rank", T.IntegerType())])
+    n = max(1, min(nprobe, most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in candidates(columns(b, [f"_{x}" for x in q_names]), points, n) if len(points) else ():
+                lo, hi = int(i[0]), int(i[-1]) + 1
+                part = b.slice(lo, hi - lo)
+                dist = exact(columns(part, [f"_{x}" for x in q_names])[i - lo], points[j])
+                some = best(n, i, dist, j)
+                i, j, dist = i[some] - lo, j[some], dist[some]
+                rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+                asked = pa.array(i)
+                yield pa.RecordBatch.from_arrays([part.column("qid").take(asked), pa.array(number[j]).cast(to_arrow_type(kind)), *(part.column(x).take(asked) for x in q_names), pa.array(dist, pa.float64(), from_pandas=True), pa.array(rank.astype(np.int32))], names=schema.names)
+
+    return wide.mapInArrow(run, schema)
 
 
 def ivf(queries: DataFrame, refs: DataFrame, centroids: DataFrame, names: Sequence[str], qid: str = "qid", k: int = 5, nprobe: int = 16, dtype: str = "f16", not_self: str | None = None, single_precision: bool = False) -> DataFrame:

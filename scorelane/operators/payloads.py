@@ -45,10 +45,11 @@ def complete(p: Column) -> Column:
 
 def validate(requests: DataFrame, body: str = "body", is_strict: bool = True) -> DataFrame:
     """requests with payload (null where rejected) and status (200 or 400). Not strict: numbers for texts, text after the object and
-    repeated names pass."""
+    repeated names pass. Each body is parsed once: a status that is not deterministic keeps a filter on it from being worked out
+    below, where it would parse the body again for every field that it asks for."""
     parsed = requests.withColumn("payload", parse(F.col(body)))
     ok = complete(F.col("payload"))
     if is_strict:
         ok = ok & strict(F.col(body))
-    parsed = parsed.withColumn("status", F.when(ok, 200).otherwise(400))
+    parsed = parsed.withColumn("status", F.when(ok & (F.monotonically_increasing_id() >= 0), 200).otherwise(400))
     return parsed.withColumn("payload", F.when(F.col("status") == 200, F.col("payload")))

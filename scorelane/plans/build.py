@@ -20,6 +20,12 @@ def build_index(refs: DataFrame, config: BuildConfig | None = None) -> Index:
     spark = refs.sparkSession
     refs = refs.select("ref_id", *[F.col(n).cast("float").alias(n) for n in names], "is_fraud").persist()
     count = refs.count()
+    # Rows that came in few partitions, as small tables do, are still much work in each round.
+    tasks = min(4096, -(-count * config.nlist // kmeans.PAIRS_PER_TASK))
+    if tasks > max(1, count // kmeans.ROWS_PER_SPLIT):
+        whole, refs = refs, refs.repartition(tasks, "ref_id").persist()
+        refs.count()
+        whole.unpersist()
     trained = kmeans.train(refs, names, config.nlist, config.max_iter, config.tol, config.seed)
     assigned = trained.assigned(refs, names, [*names, "is_fraud"]).persist()
     placed = kmeans.clustered(assigned) if config.nlist else assigned.withColumn("pos", F.col("ref_id"))

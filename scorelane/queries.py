@@ -15,6 +15,7 @@ from scorelane.functions.math_expr import half
 from scorelane.operators import evaluate, features, kmeans, knn, payloads, score
 from scorelane.plans.build import build_index
 from scorelane.plans.scoring import score_requests
+from scorelane.scratch import Scratch
 from scorelane.sources.index import Index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,10 +308,15 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(kinds, "event_id").withColumnRenamed("event_id", "ref_id").select("ref_id", *features.NAMES, "is_fraud")
 
 
-def _trained(spark: SparkSession, sf_dir: str) -> Index:
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference set of _dense, made once for all that reads it."""
+    return Scratch(spark, "references").put(_dense(spark, sf_dir), "dense")
+
+
+def _trained(spark: SparkSession, sf_dir: str, refs: DataFrame | None = None) -> Index:
     """The index of all transactions by the default settings. A table of under 8 rows for each of the 1024 clusters gets one cluster for
     8 rows, as there can't be more clusters than rows."""
-    refs = _dense(spark, sf_dir)
+    refs = _written(spark, sf_dir) if refs is None else refs
     return build_index(refs, BuildConfig(nlist=max(1, min(BuildConfig.nlist, refs.count() // 8))))
 
 
@@ -324,7 +330,7 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_requests_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event's request, defects and all, through the trained index; iterates, so tested by its parts."""
     asked = adapter.bodies(spark, sf_dir).withColumnRenamed("event_id", "qid")
-    return score_requests(asked, _trained(spark, sf_dir), Config())
+    return score_requests(asked, _trained(spark, sf_dir), Config(), scratch=Scratch(spark, "requests"))
 
 
 @query()

@@ -131,3 +131,10 @@ def test_distances(spark):
     lane = (d[:, 8:].astype(float) ** 2 + (d[:, :8] * d[:, :8]).astype(float)).astype(np.float32)
     four = lane[:, :4] + lane[:, 4:]
     assert [r[1] for r in got] == ((four[:, 0] + four[:, 1]) + (four[:, 2] + four[:, 3])).tolist()
+
+
+def test_a_filter_on_the_status_parses_bodies_once(spark):
+    rows = spark.createDataFrame([(0, json.dumps(body())), (1, "{}")], "qid long, body string")
+    vectors = features.vectorize(payloads.validate(rows).where("status = 200"))
+    assert vectors._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [r["qid"] for r in vectors.collect()] == [0]

@@ -10,6 +10,7 @@ from scorelane.config import BuildConfig, Config, Limits
 from scorelane.operators import kmeans
 from scorelane.plans.build import build_index
 from scorelane.plans.scoring import score_requests
+from scorelane.scratch import Scratch
 from scorelane.sources import index as index_source
 from scorelane.sources.references import read_references
 from scorelane.sources.requests import read_requests, read_test_entries, stream_requests
@@ -214,3 +215,30 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(SystemExit) as e:
         main(["build", "--input", "x", "--output", "y", "--dtype", "f64"])
     assert e.value.code == 2
+
+
+def test_rows_of_one_partition_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(kmeans, "PAIRS_PER_TASK", 100)
+    _, refs = make(spark, 200)
+    built = build_index(refs.coalesce(1), BuildConfig(nlist=4, max_iter=2))
+    assert built.cached[0].rdd.getNumPartitions() == 8
+    assert [r["pos"] for r in built.refs.orderBy("pos").collect()] == list(range(200))
+    built.release()
+
+
+def test_written_requests_are_read_again(spark):
+    _, refs = make(spark, 60)
+    index = build_index(refs, BuildConfig(nlist=3, max_iter=2))
+    asked = spark.createDataFrame([(i, json.dumps(body(amount=100.0 * i)) if i % 3 else "bad") for i in range(9)], "qid long, body string")
+    scratch = Scratch(spark, "test-requests")
+    once = score_requests(asked, index, Config(nprobe=3), scratch=scratch)
+    assert "from_json" not in once._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(once.collect()) == sorted(score_requests(asked, index, Config(nprobe=3)).collect())
+    scratch.drop()
+
+
+def test_nearest_compares_exactly_where_the_product_cannot_tell():
+    points = np.array([[1.0, 2.0], [1.0, 2.0], [1.0, 2.0 + 1e-13], [5.0, np.nan]])
+    x = np.array([[1.0, 2.0 + 1e-13], [np.nan, 0.0], [1.0, 1.0]])
+    assert kmeans.nearest(x[[0, 2]], points[:3])[0].tolist() == [2, 0]
+    assert kmeans.nearest(x, points)[0].tolist() == [2, 0, 0]

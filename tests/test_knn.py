@@ -126,3 +126,16 @@ def test_null_vectors_rank_last(spark):
     assert [r["ref_id"] for r in knn.brute(asked, refs, ["v0"]).orderBy("rank").collect()] == [8, 9, 10, 11, 12]
     few = refs.where("ref_id < 10")
     assert [r["ref_id"] for r in knn.brute(asked, few, ["v0"]).orderBy("rank").collect()] == [8, 9, 0, 1, 2]
+
+
+def test_probes_make_no_row_per_query_and_centroid(spark):
+    rng = np.random.default_rng(4)
+    x, c = rng.integers(0, 3, (50, 3)).astype(float), rng.integers(0, 3, (20, 3)).astype(float)
+    asked = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(50, None, 1.0, 1.0)], "qid long, v0 float, v1 float, v2 float")
+    cents = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(c)], "cluster int, v0 float, v1 float, v2 float")
+    got = knn.probes(asked, cents, ["v0", "v1", "v2"], nprobe=4)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {i: [j for _, j in sorted((((p - q) ** 2).sum(), j) for j, q in enumerate(c))[:4]] for i, p in enumerate(x)} | {50: [0, 1, 2, 3]}
+    rows = sorted(got.collect(), key=lambda r: (r["qid"], r["probe_rank"]))
+    assert [(r["qid"], r["cluster"], r["probe_rank"]) for r in rows] == [(q, j, k + 1) for q, js in want.items() for k, j in enumerate(js)]
+    assert {r["q_v1"] for r in rows if r["qid"] == 7} == {x[7][1]}
