@@ -336,7 +336,8 @@ def score_requests_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def trained_recall_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of the trained index by the default probes, for the transactions whose event_id is divisible by 100."""
-    index, refs = _trained(spark, sf_dir), _dense(spark, sf_dir).withColumn("pos", F.col("ref_id"))
+    refs = _written(spark, sf_dir)
+    index, refs = _trained(spark, sf_dir, refs), refs.withColumn("pos", F.col("ref_id"))
     asked = refs.where("ref_id % 100 = 0").withColumnRenamed("ref_id", "qid")
     found = knn.ivf(asked, index.refs, index.centroids, features.NAMES, nprobe=Config.nprobe, not_self="ref_id")
     return knn.recall(found, knn.brute(asked, refs, features.NAMES, not_self="ref_id"))
