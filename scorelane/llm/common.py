@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,12 +28,35 @@ def meet(rows: DataFrame, table: DataFrame, on: str, size: str, total: int, hot:
     return rows.where(named).join(F.broadcast(table.where(named)), on).unionByName(rows.where(~named).join(table.where(~named), on))
 
 
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While it holds, Arrow batches have at most so many rows, for tables of whole texts: a task holds a batch several times over, in
+    and outside the JVM's heap and in its worker. For plans that are run inside; the setting is put back."""
+    was = spark.conf.get(ROWS_PER_BATCH, None)
+    if was is None or not 0 < int(was) <= rows:
+        spark.conf.set(ROWS_PER_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(ROWS_PER_BATCH) if was is None else spark.conf.set(ROWS_PER_BATCH, was)
+
+
+def give_back() -> None:
+    """Memory that is no longer used goes back to the system: a worker idles on beside others, and serves later stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_batch(run: Callable[[Iterator], Iterator[pa.Array]], returns: str, *columns: Column) -> Column:
     """run over batches of the columns. Marked as not deterministic, so that a filter on its result runs it once, not twice."""
 
     def whole(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()  # the worker idles on beside others
+        give_back()
 
     kind = pa.Array if len(columns) == 1 else tuple[(pa.Array,) * len(columns)]
     whole.__annotations__ = {"batches": Iterator[kind], "return": Iterator[pa.Array]}

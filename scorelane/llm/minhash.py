@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelane.llm.common import Scratch, by_batch, meet
+from scorelane.llm.common import Scratch, by_batch, give_back, meet, small_batches
 from scorelane.llm.components import connected
 from scorelane.llm.tiles import by_group
 
@@ -110,6 +110,8 @@ def sketch(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: i
                 keys.append(signer.keys(minima))
                 sig.append(minima.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=schema.names)
+        del shingler
+        give_back()
 
     return picked.mapInArrow(run, schema)
 
@@ -256,6 +258,11 @@ def _joined(found: DataFrame | None, links: DataFrame, scratch: Scratch, name: s
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 28, rows: int = 4, screen: float = 0.58) -> DataFrame:
     """key, n_shingles, component_id, kept. key is a whole number."""
+    with small_batches(docs.sparkSession):  # all its tables are written inside
+        return _near_duplicates(docs, key, text, words, percent, bands, rows, screen)
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent: int, bands: int, rows: int, screen: float) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "minhash")
     docs = docs.withColumn(key, F.col(key).cast("bigint"))
     all_rows = scratch.put(sketch(docs, key, text, words, bands, rows), "sketch")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scorelane.llm import lang_id, minhash, permutation_index, queries, toxicity, vector_dedup
-from scorelane.llm.common import Scratch
+from scorelane.llm.common import Scratch, small_batches
 from scorelane.llm.components import connected
 from scorelane.llm.tiles import unit
 
@@ -376,3 +376,15 @@ def test_pipeline_runs_on_no_rows(spark, data):
     for name, stage in corpus_pipeline.STAGES:
         rows = Scratch(spark, "t").put(stage(spark, rows, data), name)
         assert rows.count() == 0
+
+
+def test_near_duplicates_take_small_batches_of_texts(spark, monkeypatch):
+    name, seen, put = "spark.sql.execution.arrow.maxRecordsPerBatch", [], Scratch.put
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(Scratch, "put", lambda self, *a, **b: seen.append(spark.conf.get(name, None)) or put(self, *a, **b))
+    minhash.near_duplicates(spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string"), words=4)
+    assert seen and set(seen) == {"1000"} and spark.conf.get(name, None) == before
+    spark.conf.set(name, "10")
+    with small_batches(spark):
+        assert spark.conf.get(name) == "10"
+    spark.conf.unset(name)
