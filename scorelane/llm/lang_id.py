@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelane.llm.common import by_batch
+from scorelane.llm.common import by_batch, give_back, small_batches
 
 ALPHABET = 128
 UNKNOWN = "und"
 PIECE = 1 << 20  # letters that are bundled at once
 MOST_VALUES = 40_000 * 512  # of the n-gram vectors that a worker keeps
+SLICE = 4096  # n-gram vectors that a product copies at once
 
 
 @dataclass(frozen=True)
@@ -101,7 +102,11 @@ class Bundler:
         at = np.empty(len(seen), np.int64)
         at[used] = np.arange(len(used))
         counts = np.bincount(of * len(used) + at[slots], minlength=len(docs) * len(used)).reshape(len(docs), -1)
-        return counts.astype(np.float32) @ self.rows[used]
+        # In slices, which copy few rows at once; sums of whole numbers are exact in any order.
+        out = np.zeros((len(docs), self.dims), np.float32)
+        for a in range(0, len(used), SLICE):
+            out += counts[:, a : a + SLICE].astype(np.float32) @ self.rows[used[a : a + SLICE]]
+        return out
 
     def vectors(self, texts: Iterable[str | None], at_once: int = 1 << 18) -> Iterator[tuple[int, np.ndarray]]:
         """(index, vector) of each text that has letters, in order; a long text's pieces are summed."""
@@ -152,9 +157,12 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
                 if (size := np.linalg.norm(v)) > 0:
                     total[names[i]] = total.get(names[i], 0) + v / size
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "v": pa.array([v.astype(np.float64).tolist() for v in total.values()], pa.list_(pa.float64()))})
+        del bundler
+        give_back()
 
     parts = sample.mapInArrow(sums, "lang string, v array<double>")
-    got = parts.select("lang", F.posexplode("v").alias("dim", "x")).groupBy("lang", "dim").agg(F.sum("x").alias("x")).collect()
+    with small_batches(docs.sparkSession):
+        got = parts.select("lang", F.posexplode("v").alias("dim", "x")).groupBy("lang", "dim").agg(F.sum("x").alias("x")).collect()
     langs = sorted({r["lang"] for r in got})
     proto = np.zeros((len(langs), dims))
     for r in got:

@@ -388,3 +388,19 @@ def test_near_duplicates_take_small_batches_of_texts(spark, monkeypatch):
     with small_batches(spark):
         assert spark.conf.get(name) == "10"
     spark.conf.unset(name)
+
+
+def test_bundles_copy_few_vectors_at_once(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    docs, peak, made = [rng.integers(0, lang_id.ALPHABET**3, 3000) for _ in range(3)], {}, {}
+    for size in (64, 1 << 30):
+        monkeypatch.setattr(lang_id, "SLICE", size)
+        bundler = lang_id.Bundler(3, 512, 1)
+        bundler.bundle(docs)
+        tracemalloc.start()
+        made[size] = bundler.bundle(docs)
+        peak[size] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert (made[64] == made[1 << 30]).all() and peak[64] < peak[1 << 30] / 4
