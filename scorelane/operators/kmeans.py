@@ -13,12 +13,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from scorelane.functions.math_expr import half
-from scorelane.operators.blocks import CHUNK, best, candidates, cluster_points, columns, exact
+from scorelane.operators.blocks import CHUNK, IN_CACHE, best, candidates, cluster_points, columns, exact, halves, lifted, rounding, single_able
 
 STRETCH = 65_536
-PAIRS_PER_TASK = 10_000_000  # rows and centroids that one task compares in a round
+PAIRS_PER_TASK = 10_000_000  # rows and centroids that are worth a task in a round
+MOST_PAIRS = 250_000_000  # that one task compares, where there are more tasks than cores
 ROWS_PER_SPLIT = 500_000
-IN_CACHE = 1 << 17  # distances that are worked on at once: 1 MB
+ROWS_PER_BLOB = 16_384
 MASK = (1 << 64) - 1
 
 
@@ -68,19 +69,21 @@ def assign(refs: DataFrame, centroids: DataFrame, names: Sequence[str], keep: Se
 
 def nearest(x: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the number of the nearest point, ties to the lesser, and its squared distance. Most rows have one point alone that
-    can be nearest by a matrix product; the others compare exactly."""
+    can be nearest by a matrix product in single precision; the others compare exactly."""
     near, least = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
     if not len(points):
         return near, least
-    size, own = (points * points).sum(1), (x * x).sum(1)
     open_ = np.ones(len(x), bool)
-    if np.isfinite(size).all() and np.isfinite(own).all():
-        twice, slack, chunk = np.ascontiguousarray(-2 * points.T), 1e-9 * (1 + size.max()), max(1, min(CHUNK, IN_CACHE // len(points)))
+    if len(x) and single_able(x, points):
+        own = (x * x).sum(1)
+        slack = rounding(own, float((points * points).sum(1).max()), x.shape[1])
+        flat, wide, chunk = lifted(x), np.ascontiguousarray(halves(points).T), max(1, min(CHUNK, IN_CACHE // len(points)))
         for at in range(0, len(x), chunk):
-            far = x[at : at + chunk] @ twice + size
-            here = near[at : at + chunk] = far.argmin(1)
-            edge = far[np.arange(len(far)), here] + slack + 1e-9 * own[at : at + chunk]
-            open_[at : at + chunk] = np.count_nonzero(far <= edge[:, None], axis=1) > 1
+            far = flat[at : at + chunk] @ wide
+            each, here = np.arange(len(far)), far.argmin(1)
+            edge = far[each, here] + slack[at : at + chunk]
+            far[each, here] = np.inf
+            near[at : at + chunk], open_[at : at + chunk] = here, far.min(1) <= edge
         least[:] = exact(x, points[near])
     rows = np.flatnonzero(open_)
     near[rows], least[rows] = 0, np.inf
@@ -121,22 +124,45 @@ class Trained:
         return assign(refs, refs.sparkSession.createDataFrame(self.before, schema), names, keep).drop("dist")
 
 
-def step(refs: DataFrame, names: Sequence[str], points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and column sums of each point's cluster. Tasks add up their own rows, so at most a row per cluster and task is shuffled."""
+def blobs(refs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The columns in their precision, ROWS_PER_BLOB rows to a row of bytes, for rounds that read them again and again."""
+    kind, name = _kind(refs, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in batches:
+            held.append(columns(b, names).astype(kind))
+            if sum(map(len, held)) >= ROWS_PER_BLOB:
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()])], names=["x"])
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()])], names=["x"])
+
+    return refs.select(*[F.col(c).cast(name).alias(c) for c in names]).mapInArrow(run, "x binary")
+
+
+def _kind(refs: DataFrame, names: Sequence[str]) -> tuple[type, str]:
+    return (np.float32, "float") if all(isinstance(refs.schema[n].dataType, T.FloatType) for n in names) else (np.float64, "double")
+
+
+def step(packed: DataFrame, names: Sequence[str], points: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and column sums of each point's cluster, of the rows in blobs. Tasks add up their own rows, so at most a row per cluster and
+    task is shuffled."""
     sums = ", ".join(f"{n} double" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = np.zeros(len(points), np.int64), np.zeros(points.shape)
         for b in batches:
-            x = columns(b, names)
-            near, _ = nearest(x, points)
-            n += np.bincount(near, minlength=len(points))
-            for i in range(len(names)):
-                total[:, i] += np.bincount(near, x[:, i], len(points))
+            for blob in b.column(0):
+                x = np.frombuffer(blob.as_buffer(), kind).reshape(-1, len(names)).astype(float)
+                near, _ = nearest(x, points)
+                n += np.bincount(near, minlength=len(points))
+                for i in range(len(names)):
+                    total[:, i] += np.bincount(near, x[:, i], len(points))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), *(pa.array(total[some, i]) for i in range(len(names)))], names=["cluster", "n", *names])
 
-    parts = refs.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(run, f"cluster int, n long, {sums}")
+    parts = packed.mapInArrow(run, f"cluster int, n long, {sums}")
     n, total = np.zeros(len(points), np.int64), np.zeros(points.shape)
     for r in parts.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]).collect():
         n[r["cluster"]], total[r["cluster"]] = r["n"], [r[c] for c in names]
@@ -144,18 +170,20 @@ def step(refs: DataFrame, names: Sequence[str], points: np.ndarray) -> tuple[np.
 
 
 def train(refs: DataFrame, names: Sequence[str], nlist: int, max_iter: int = 30, tol: float = 0.0005, seed: int = 42) -> Trained:
-    """refs: ref_id from 0 without gaps, and the columns in names, which each step reads again: persist or write it first. Clusters
-    without rows keep their centroid. Training ends once no coordinate moves by tol."""
+    """refs: ref_id from 0 without gaps, and the columns in names: persist or write it first. Clusters without rows keep their
+    centroid. Training ends once no coordinate moves by tol."""
     drawn = first_rows(refs.count(), nlist, seed)
     at = {r["ref_id"]: r for r in refs.where(F.col("ref_id").isin(drawn)).collect()} if nlist else {}
     now = np.array([[at[d][n] for n in names] for d in drawn], np.float32).reshape(nlist, len(names))
     before, iters, change = None, 0, float("inf") if nlist else 0.0
+    packed, kind = blobs(refs, names).persist(), _kind(refs, names)[0]
     while iters < max_iter and nlist:
-        n, total = step(refs, names, now.astype(float))
+        n, total = step(packed, names, now.astype(float), kind)
         new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], now).astype(np.float32)
         change, before, now, iters = float(np.abs(new.astype(float) - now).max()), now, new, iters + 1
         if change < tol:
             break
+    packed.unpersist()
     rows = lambda x: [] if x is None else [Row("cluster", *names)(i, *map(float, r)) for i, r in enumerate(x)]
     return Trained(rows(now), rows(before), iters, change)
 

@@ -19,13 +19,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from scorelane.functions.math_expr import squared_distance
+from scorelane.operators import kmeans
 from scorelane.operators.blocks import best, by_group, candidates, cluster_points, columns, exact, exact_single
+from scorelane.scratch import Scratch
 
 MOST_QUERIES = 20_000  # that go to every task
 MOST_BROADCAST = 20_000  # rows of a broadcast side
 PAIRS_PER_TASK = 20_000_000
 ROWS_PER_SPLIT = 500_000
 BLOCK = 65_536  # references that meet a block of queries in one task
+PIECE = 8_192  # references compared with queries at once
 FOUND = [("probe_rank", T.IntegerType()), ("ref_id", T.LongType()), ("pos", T.LongType()), ("is_fraud", T.BooleanType()), ("dist", T.DoubleType())]
 
 
@@ -54,19 +57,30 @@ class _Best:
     k: int
     single: bool = False
     parts: list[tuple] = field(default_factory=list)
+    held: int = 0  # rows in parts, and those that the last look at all of them left
+    kept: int = 0
 
-    def add(self, asked: np.ndarray, points: np.ndarray, probe: np.ndarray, ref: dict[str, np.ndarray], x: np.ndarray, me: np.ndarray | None) -> None:
+    def add(self, asked: np.ndarray, points: np.ndarray, probe: np.ndarray, ref: dict[str, np.ndarray], x: np.ndarray, me: np.ndarray | None, most: np.ndarray | None = None) -> None:
         """asked, points, probe: numbers, vectors and probe ranks of queries; ref: columns of the rows of x; me: what each query's own row
-        has as "self" there."""
-        for i, j in candidates(points, x, self.k + (me is not None), 1e-5 if self.single else 1e-9):
+        has as "self" there; most: the squared distance beyond which each query wants no rows."""
+        for at in range(0, len(x), PIECE):
+            self._add(asked, points, probe, {n: v[at : at + PIECE] for n, v in ref.items()}, x[at : at + PIECE], me, most)
+
+    def _add(self, asked: np.ndarray, points: np.ndarray, probe: np.ndarray, ref: dict[str, np.ndarray], x: np.ndarray, me: np.ndarray | None, most: np.ndarray | None) -> None:
+        for i, j in candidates(points, x, self.k + (me is not None), 1e-5 if self.single else 1e-9, most):
             apart = np.ones(len(i), bool) if me is None else ref["self"][j] != me[i]
             i, j = i[apart], j[apart]
             dist = (exact_single if self.single else exact)(points[i], x[j])
+            if most is not None:
+                near = ~(dist > most[i])
+                i, j, dist = i[near], j[near], dist[near]
             some = best(self.k, i, dist, ref["pos"][j])
             i, j = i[some], j[some]
             self.parts.append((asked[i], probe[i], ref["ref_id"][j], ref["pos"][j], ref["is_fraud"][j], dist[some]))
-        if sum(len(p[0]) for p in self.parts) > 200_000:
-            self.parts = [self.all()]
+            self.held += len(i)
+            if self.held > 2 * self.kept + 200_000:
+                self.parts = [self.all()]
+                self.held = self.kept = len(self.parts[0][0])
 
     def all(self) -> tuple:
         if not self.parts:
@@ -83,18 +97,26 @@ class _Best:
         return pa.RecordBatch.from_arrays(made, names=["qid", *(n for n, _ in FOUND)])
 
 
+def _bounds(asked: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """The squared distance beyond which each query wants nothing; none is endless."""
+    return np.nan_to_num(columns(asked, ["bound"])[:, 0], nan=np.inf, posinf=np.inf)
+
+
 def _compare(refs: DataFrame, names: Sequence[str], asked: DataFrame, k: int, not_self: str | None, single_precision: bool) -> DataFrame:
-    """The k nearest of each row of asked (qid, cluster, probe_rank, q_*) among the references of its cluster; -1: among all. Ties go by
-    pos."""
+    """The k nearest of each row of asked (qid, cluster, probe_rank, q_*, and bound if any) among the references of its cluster; -1: among
+    all. Ties go by pos."""
     spark, q_names = refs.sparkSession, [f"q_{n}" for n in names]
-    wide = [F.col(n).cast("double").alias(n) for n in names]
+    # Single precision stays so on its way; the arrays are double.
+    single = all(refs.schema[n].dataType == asked.schema[f"q_{n}"].dataType == T.FloatType() for n in names)
+    wide = [F.col(n).cast("float" if single else "double").alias(n) for n in names]
     kind = asked.schema["qid"].dataType
     schema = T.StructType([T.StructField("qid", kind), *(T.StructField(n, t) for n, t in FOUND)])
     own = (F.col(not_self) if not_self else F.lit(None)).cast(kind)
     in_clusters = "cluster" in refs.columns
     cluster = F.col("cluster").cast("int") if in_clusters else F.lit(-1)
     rows = refs.select(F.col("ref_id").cast("bigint").alias("ref_id"), F.col("pos").cast("bigint").alias("pos"), F.coalesce("is_fraud", F.lit(False)).alias("is_fraud"), own.alias("self"), cluster.alias("cluster"), *wide)
-    asked = asked.select("qid", F.col("cluster").cast("int").alias("cluster"), F.col("probe_rank").cast("int").alias("probe_rank"), *[F.col(n).cast("double").alias(n) for n in q_names])
+    bound = F.col("bound") if "bound" in asked.columns else F.lit(None)
+    asked = asked.select("qid", F.col("cluster").cast("int").alias("cluster"), F.col("probe_rank").cast("int").alias("probe_rank"), bound.cast("double").alias("bound"), *[F.col(n).cast("float" if single else "double").alias(n) for n in q_names])
     rows, asked = rows.where("cluster is not null"), asked.where("cluster is not null")
     few = asked.limit(MOST_QUERIES + 1).toArrow()
 
@@ -104,7 +126,7 @@ def _compare(refs: DataFrame, names: Sequence[str], asked: DataFrame, k: int, no
     if len(few) <= MOST_QUERIES:
         (of, probe), qids = (few.column(c).to_numpy() for c in ("cluster", "probe_rank")), few.column("qid").combine_chunks()
         me = qids.to_numpy(zero_copy_only=False)
-        points = columns(few, q_names)
+        points, most = columns(few, q_names), _bounds(few)
         probed = np.unique(of).tolist()
         by = {c: np.flatnonzero(of == c) for c in probed}
         if probed != [-1]:
@@ -116,7 +138,7 @@ def _compare(refs: DataFrame, names: Sequence[str], asked: DataFrame, k: int, no
                 x, ref, at = columns(b, names), ref_of(b), b.column("cluster").to_numpy()
                 for c in [-1] if probed == [-1] else np.unique(at).tolist():
                     here, who = np.arange(len(x)) if c == -1 else np.flatnonzero(at == c), by[c]
-                    found.add(who, points[who], probe[who], {n: v[here] for n, v in ref.items()}, x[here], me[who] if not_self else None)
+                    found.add(who, points[who], probe[who], {n: v[here] for n, v in ref.items()}, x[here], me[who] if not_self else None, most[who])
             yield found.rows(qids)
 
         if not len(few):
@@ -136,9 +158,9 @@ def _compare(refs: DataFrame, names: Sequence[str], asked: DataFrame, k: int, no
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     nothing = lambda kind: F.lit(None).cast(kind)
     left = rows.join(cut, "cluster").withColumn("b", F.pmod(F.xxhash64("ref_id"), F.col("rb"))).withColumn("c", each("qb"))
-    left = left.select("cluster", "b", "c", F.lit(1).alias("role"), "ref_id", "pos", "is_fraud", "self", nothing(kind).alias("qid"), nothing("int").alias("probe_rank"), *names)
+    left = left.select("cluster", "b", "c", F.lit(1).alias("role"), "ref_id", "pos", "is_fraud", "self", nothing(kind).alias("qid"), nothing("int").alias("probe_rank"), nothing("double").alias("bound"), *names)
     right = asked.join(cut, "cluster").withColumn("c", F.pmod(F.xxhash64("qid"), F.col("qb"))).withColumn("b", each("rb"))
-    right = right.select("cluster", "b", "c", F.lit(0).alias("role"), nothing("bigint").alias("ref_id"), nothing("bigint").alias("pos"), nothing("boolean").alias("is_fraud"), nothing(kind).alias("self"), "qid", "probe_rank", *[F.col(f"q_{n}").alias(n) for n in names])
+    right = right.select("cluster", "b", "c", F.lit(0).alias("role"), nothing("bigint").alias("ref_id"), nothing("bigint").alias("pos"), nothing("boolean").alias("is_fraud"), nothing(kind).alias("self"), "qid", "probe_rank", "bound", *[F.col(f"q_{n}").alias(n) for n in names])
 
     def work(t: pa.Table) -> pa.RecordBatch:
         role = t.column("role").to_numpy()
@@ -146,7 +168,7 @@ def _compare(refs: DataFrame, names: Sequence[str], asked: DataFrame, k: int, no
         found = _Best(k, single_precision)
         qids = q.column("qid")
         if len(q) and len(r):
-            found.add(np.arange(len(q)), columns(q, names), q.column("probe_rank").to_numpy().astype(np.int64), ref_of(r), columns(r, names), qids.to_numpy(zero_copy_only=False) if not_self else None)
+            found.add(np.arange(len(q)), columns(q, names), q.column("probe_rank").to_numpy().astype(np.int64), ref_of(r), columns(r, names), qids.to_numpy(zero_copy_only=False) if not_self else None, _bounds(q))
         return found.rows(qids)
 
     return by_group(left.unionByName(right), ["cluster", "b", "c"], ["role"], work, schema)
@@ -195,11 +217,15 @@ def probes(queries: DataFrame, centroids: DataFrame, names: Sequence[str], qid:
     return wide.mapInArrow(run, schema)
 
 
-def ivf(queries: DataFrame, refs: DataFrame, centroids: DataFrame, names: Sequence[str], qid: str = "qid", k: int = 5, nprobe: int = 16, dtype: str = "f16", not_self: str | None = None, single_precision: bool = False) -> DataFrame:
+def ivf(queries: DataFrame, refs: DataFrame, centroids: DataFrame, names: Sequence[str], qid: str = "qid", k: int = 5, nprobe: int = 16, dtype: str = "f16", not_self: str | None = None, single_precision: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """The k nearest among the probed clusters. Equal distances go by the nearer cluster first; within it by position, which
-    counts downwards for f16 indexes (their clusters' best are merged from the worst on) and upwards for f32 ones."""
+    counts downwards for f16 indexes (their clusters' best are merged from the worst on) and upwards for f32 ones. With scratch,
+    for tables of queries, the nearest cluster is searched first, and then those of the others that can hold a nearer row."""
 
-    found = _compare(refs, names, probes(queries, centroids, names, qid, nprobe), k, not_self, single_precision)
+    if scratch:
+        found = _by_bounds(queries, refs, centroids, names, qid, k, nprobe, not_self, single_precision, _reach(refs, centroids, names), scratch)
+    else:
+        found = _compare(refs, names, probes(queries, centroids, names, qid, nprobe), k, not_self, single_precision)
     order = F.col("pos")
     if dtype == "f16":
         within = F.row_number().over(Window.partitionBy("qid", "probe_rank").orderBy(F.col("dist").asc_nulls_last(), "pos"))
@@ -207,6 +233,100 @@ def ivf(queries: DataFrame, refs: DataFrame, centroids: DataFrame, names: Sequen
     return _nearest(found, k, F.col("dist").asc_nulls_last(), F.col("probe_rank"), order).select("qid", "rank", "ref_id", "pos", "is_fraud", "dist")
 
 
+def brute_by_clusters(queries: DataFrame, refs: DataFrame, centroids: DataFrame, names: Sequence[str], scratch: Scratch, qid: str = "qid", k: int = 5, not_self: str | None = None) -> DataFrame:
+    """What brute returns, for many queries: references are put to their nearest centroids, and a cluster that can't hold one of a
+    query's k nearest isn't compared with it. Any centroids give the same rows; good ones leave little to compare. Vectors are whole."""
+    keep = [c for c in dict.fromkeys(["pos", "is_fraud", *([not_self] if not_self else []), *names]) if c != "ref_id"]
+    placed = scratch.put(kmeans.assign(refs, centroids, names, keep).drop("dist"), "placed")
+    found = _by_bounds(queries, placed, centroids, names, qid, k, None, not_self, False, None, scratch)
+    return _nearest(found, k, F.col("dist").asc_nulls_last(), F.col("pos")).select("qid", "rank", "ref_id", "pos", "is_fraud", "dist")
+
+
+@dataclass
+class _Reach:
+    """Where the rows of clusters lie, by the clusters' numbers in order. over: how much farther, in squares, a row may lie from its
+    centroid than from the nearest one, as index rows keep the cluster of the last assignment, which an update and rounding came after;
+    low, high: the box of the rows. Endless where vectors are not whole."""
+
+    over: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def _reach(refs: DataFrame, centroids: DataFrame, names: Sequence[str]) -> _Reach:
+    number, points = cluster_points(centroids, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        over, low, high = np.full(len(number), -np.inf), np.full(points.shape, np.inf), np.full(points.shape, -np.inf)
+        for b in batches:
+            of = b.column("cluster").to_numpy()
+            known = np.isin(of, number)  # no query probes others
+            x, at = columns(b, names)[known], np.searchsorted(number, of[known])
+            if not len(x):
+                continue
+            more = exact(x, points[at]) - kmeans.nearest(x, points)[1]
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.diff(at[order], prepend=-1))
+            c, x = at[order][first], x[order]
+            whole = np.isfinite(x)
+            over[c] = np.maximum(over[c], np.maximum.reduceat(np.where(np.isfinite(more), more, np.inf)[order], first))
+            low[c] = np.minimum(low[c], np.minimum.reduceat(np.where(whole, x, -np.inf), first))
+            high[c] = np.maximum(high[c], np.maximum.reduceat(np.where(whole, x, np.inf), first))
+        some = np.flatnonzero(over > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(over[some]), *(pa.array(list(m[some]), pa.list_(pa.float64())) for m in (low, high))], names=["c", "over", "low", "high"])
+
+    rows = refs.where("cluster is not null").select(F.col("cluster").cast("long").alias("cluster"), *names)
+    out = _Reach(np.zeros(len(number)), np.full(points.shape, np.inf), np.full(points.shape, -np.inf))
+    # A row for each task and cluster at most.
+    for r in rows.mapInArrow(run, "c long, over double, low array<double>, high array<double>").groupBy("c").agg(F.max("over").alias("over"), *(f(F.col(m)[i]).alias(f"{m}{i}") for m, f in (("low", F.min), ("high", F.max)) for i in range(len(names)))).collect():
+        out.over[r["c"]] = r["over"]
+        out.low[r["c"]], out.high[r["c"]] = ([r[f"{m}{i}"] for i in range(len(names))] for m in ("low", "high"))
+    return out
+
+
+def _by_bounds(queries: DataFrame, refs: DataFrame, centroids: DataFrame, names: Sequence[str], qid: str, k: int, nprobe: int | None, not_self: str | None, single_precision: bool, reach: _Reach | None, scratch: Scratch) -> DataFrame:
+    """_compare's rows of the k nearest among the probed clusters (nprobe None: among all) in two searches, both written to scratch: each
+    query's nearest cluster, whose k-th distance is a bound, and the clusters that can reach below it."""
+    first = scratch.put(_compare(refs, names, probes(queries, centroids, names, qid, 1), k, not_self, single_precision), "first")
+    n = F.count("dist")
+    bounds = first.groupBy("qid").agg(F.when(n >= k, F.max("dist")).alias("bound"))
+    asked = _as_queries(queries, qid, names).join(bounds, "qid", "left")
+    more = scratch.put(_reachable(asked, centroids, names, nprobe, reach, 1e-5 if single_precision else 1e-9), "more")
+    return first.unionByName(scratch.put(_compare(refs, names, more, k, not_self, single_precision), "second"))
+
+
+def _reachable(asked: DataFrame, centroids: DataFrame, names: Sequence[str], nprobe: int | None, reach: _Reach | None, loss: float) -> DataFrame:
+    """asked (qid, q_*, bound) by cluster and probe_rank, for the probes after the first that can hold a row within the bound. Rows of a
+    cluster lie on their centroid's side of the plane between it and the query's nearest centroid, or over it by the cluster's reach,
+    and in the cluster's box."""
+    number, points = cluster_points(centroids, names)
+    over = reach.over if reach else np.zeros(len(number))
+    q_names, kind = [f"q_{n}" for n in names], centroids.schema["cluster"].dataType
+    schema = T.StructType([asked.schema["qid"], T.StructField("cluster", kind), *(asked.schema[n] for n in q_names), T.StructField("bound", T.DoubleType()), T.StructField("probe_rank", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, bound = columns(b, q_names), _bounds(b)
+            for i, j in candidates(x, points, len(points) if nprobe is None else nprobe) if len(points) else ():
+                dist = exact(x[i], points[j])
+                some = best(len(points) if nprobe is None else nprobe, i, dist, j)
+                i, j, dist = i[some], j[some], dist[some]
+                start = np.searchsorted(i, i)  # the row of each query's nearest centroid
+                rank = np.arange(len(i)) - start + 1
+                behind = dist - dist[start] - over[j]
+                wide = 2 * np.sqrt(exact(points[j], points[j[start]]) * bound[i]) * (1 + loss) + loss * (1 + dist + dist[start])
+                open_ = (rank > 1) & ~((behind > wide) & np.isfinite(bound[i]))
+                i, j, rank = i[open_], j[open_], rank[open_]
+                if reach:
+                    apart = np.maximum(0, np.maximum(reach.low[j] - x[i], x[i] - reach.high[j]))
+                    open_ = ~((apart * apart).sum(1) > bound[i] * (1 + loss) + loss)
+                    i, j, rank = i[open_], j[open_], rank[open_]
+                take = pa.array(i)
+                yield pa.RecordBatch.from_arrays([b.column("qid").take(take), pa.array(number[j]).cast(to_arrow_type(kind)), *(b.column(n).take(take) for n in q_names), pa.array(bound[i]), pa.array(rank.astype(np.int32))], names=schema.names)
+
+    return asked.select("qid", *q_names, "bound").mapInArrow(run, schema)
+
+
 def recall(found: DataFrame, true: DataFrame, k: int = 5) -> DataFrame:
     """One row: queries, hits and recall of found against true neighbours (qid, ref_id)."""
     hits = found.select("qid", "ref_id").join(true.select("qid", "ref_id"), ["qid", "ref_id"], "left_semi").groupBy("qid").agg(F.count(F.lit(1)).alias("hits"))

@@ -22,11 +22,12 @@ def parse(body: Column) -> Column:
     return F.from_json(body, WITH_CORRUPT, OPTIONS)
 
 
-def strict(body: Column) -> Column:
+def strict(body: Column, variant: Column | None = None) -> Column:
     """What the lenient parser lets pass though a strict one wouldn't: text after the object, repeated names, and numbers where
-    texts belong."""
+    texts belong. variant: try_parse_json(body), where it was worked out before."""
+    variant = F.try_parse_json(body) if variant is None else variant
     whole = F.coalesce(body.rlike(r"(?s)^\s*\{.*\}\s*$"), F.lit(False))
-    kinds = [F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), f"$.{path}", "variant")) == "STRING", F.lit(False)) for path in TEXTS]
+    kinds = [F.coalesce(F.schema_of_variant(F.try_variant_get(variant, f"$.{path}", "variant")) == "STRING", F.lit(False)) for path in TEXTS]
     return whole & reduce(lambda a, b: a & b, kinds)
 
 
@@ -50,6 +51,7 @@ def validate(requests: DataFrame, body: str = "body", is_strict: bool = True) ->
     parsed = requests.withColumn("payload", parse(F.col(body)))
     ok = complete(F.col("payload"))
     if is_strict:
-        ok = ok & strict(F.col(body))
+        parsed = parsed.withColumn("_variant", F.try_parse_json(F.col(body)))
+        ok = ok & strict(F.col(body), F.col("_variant"))
     parsed = parsed.withColumn("status", F.when(ok & (F.monotonically_increasing_id() >= 0), 200).otherwise(400))
-    return parsed.withColumn("payload", F.when(F.col("status") == 200, F.col("payload")))
+    return parsed.drop("_variant").withColumn("payload", F.when(F.col("status") == 200, F.col("payload")))

@@ -21,7 +21,9 @@ def build_index(refs: DataFrame, config: BuildConfig | None = None) -> Index:
     refs = refs.select("ref_id", *[F.col(n).cast("float").alias(n) for n in names], "is_fraud").persist()
     count = refs.count()
     # Rows that came in few partitions, as small tables do, are still much work in each round.
-    tasks = min(4096, -(-count * config.nlist // kmeans.PAIRS_PER_TASK))
+    # Large ones are cut in few tasks, as each costs more than it compares if it is small.
+    pairs = count * config.nlist
+    tasks = min(4096, max(min(-(-pairs // kmeans.PAIRS_PER_TASK), 2 * spark.sparkContext.defaultParallelism), pairs // kmeans.MOST_PAIRS))
     if tasks > max(1, count // kmeans.ROWS_PER_SPLIT):
         whole, refs = refs, refs.repartition(tasks, "ref_id").persist()
         refs.count()

@@ -10,9 +10,9 @@ from scorelane.scratch import Scratch
 from scorelane.sources.index import Index
 
 
-def neighbours(queries: DataFrame, index: Index, names: list[str], config: Config, qid: str = "qid", dtype: str = "f16") -> DataFrame:
+def neighbours(queries: DataFrame, index: Index, names: list[str], config: Config, qid: str = "qid", dtype: str = "f16", scratch: Scratch | None = None) -> DataFrame:
     if config.use_ivf and index.centroids is not None:
-        return knn.ivf(queries, index.refs, index.centroids, names, qid, config.k, min(config.nprobe, config.most_probes), dtype)
+        return knn.ivf(queries, index.refs, index.centroids, names, qid, config.k, min(config.nprobe, config.most_probes), dtype, scratch=scratch)
     return knn.brute(queries, index.refs, names, qid, config.k)
 
 
@@ -23,6 +23,6 @@ def score_requests(requests: DataFrame, index: Index, config: Config | None = No
     checked = features.vectorize(payloads.validate(requests, body, strict), config=config).select(qid, "status", *features.NAMES)
     checked = scratch.put(checked, "checked") if scratch else checked
     vectors = checked.where("status = 200")
-    found = neighbours(vectors, index, features.NAMES, config, qid, dtype)
+    found = neighbours(vectors, index, features.NAMES, config, qid, dtype, scratch)
     votes = score.vote(vectors, found, config.k, config.deny_from, qid)
     return score.respond(checked, votes, qid)

@@ -320,6 +320,13 @@ def _trained(spark: SparkSession, sf_dir: str, refs: DataFrame | None = None) ->
     return build_index(refs, BuildConfig(nlist=max(1, min(BuildConfig.nlist, refs.count() // 8))))
 
 
+def _placed(index: Index, scratch: Scratch) -> Index:
+    """The index with its rows written, for searches that read them more than once."""
+    refs = scratch.put(index.refs, "index")
+    index.release()
+    return Index(refs, index.centroids, index.meta)
+
+
 @query()
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-means and cluster order of the whole reference set; iterates until it converges, so tested against a plain Python version."""
@@ -329,8 +336,8 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def score_requests_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event's request, defects and all, through the trained index; iterates, so tested by its parts."""
-    asked = adapter.bodies(spark, sf_dir).withColumnRenamed("event_id", "qid")
-    return score_requests(asked, _trained(spark, sf_dir), Config(), scratch=Scratch(spark, "requests"))
+    asked, scratch = adapter.bodies(spark, sf_dir).withColumnRenamed("event_id", "qid"), Scratch(spark, "requests")
+    return score_requests(asked, _placed(_trained(spark, sf_dir), scratch), Config(), scratch=scratch)
 
 
 @query()

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorelane.operators import knn, score
-from scorelane.operators.blocks import exact_single
+from scorelane.operators.blocks import best, candidates, exact, exact_single
+from scorelane.scratch import Scratch
 
 NAMES = ["v0", "v1"]
 
@@ -139,3 +140,39 @@ def test_probes_make_no_row_per_query_and_centroid(spark):
     rows = sorted(got.collect(), key=lambda r: (r["qid"], r["probe_rank"]))
     assert [(r["qid"], r["cluster"], r["probe_rank"]) for r in rows] == [(q, j, k + 1) for q, js in want.items() for k, j in enumerate(js)]
     assert {r["q_v1"] for r in rows if r["qid"] == 7} == {x[7][1]}
+
+
+def test_bounds_leave_out_clusters_and_no_rows(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.integers(0, 8, (900, 2)) / 4, rng.random((900, 2)) * 2]).astype(np.float32)
+    cents = (rng.random((30, 2)) * 2).astype(np.float32)
+    off = cents + rng.normal(size=cents.shape) * 0.03  # rows keep the clusters of centroids that have moved since
+    of = ((x[:, None].astype(float) - off[None]) ** 2).sum(2).argmin(1)
+    order = np.argsort(of, kind="stable")
+    table = refs(spark, [(int(i), int(of[i]), pos, float(x[i, 0]), float(x[i, 1]), bool(i % 3 == 0)) for pos, i in enumerate(order)])
+    centroids = spark.createDataFrame([(c, float(p), float(q)) for c, (p, q) in enumerate(cents)], "cluster int, v0 float, v1 float")
+    asked = spark.createDataFrame([(i, float(p), float(q)) for i, (p, q) in enumerate(x[::3])], "qid long, v0 float, v1 float")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for dtype, me in (("f16", None), ("f32", "ref_id")):
+        scratch = Scratch(spark, "test-bounds")
+        bounded = rows(knn.ivf(asked, table, centroids, NAMES, nprobe=12, dtype=dtype, not_self=me, scratch=scratch))
+        assert bounded == rows(knn.ivf(asked, table, centroids, NAMES, nprobe=12, dtype=dtype, not_self=me))
+        assert spark.read.parquet(f"{scratch.root}/more").count() < 600 * 11 / 2
+        scratch.drop()
+    for me in (None, "ref_id"):
+        scratch = Scratch(spark, "test-clusters")
+        assert rows(knn.brute_by_clusters(asked, table, centroids, NAMES, scratch, not_self=me)) == rows(knn.brute(asked, table, NAMES, not_self=me))
+        assert spark.read.parquet(f"{scratch.root}/more").count() < 600 * 29 / 2
+        scratch.drop()
+
+
+def test_products_of_single_precision_leave_no_neighbour_out():
+    rng = np.random.default_rng(8)
+    for scale, shift in ((1, 0), (1e-20, 0), (1e6, 1e6), (1e20, 0)):
+        p, q = scale * rng.integers(0, 4, (700, 6)) + shift, scale * rng.random((90, 6)) * 3 + shift
+        every = np.stack([exact(q, np.broadcast_to(r, q.shape)) for r in p], 1)
+        want = [np.lexsort((np.arange(700), d))[:5].tolist() for d in every]
+        for most in (None, np.sort(every, 1)[:, 4]):
+            i, j = (np.concatenate(c) for c in zip(*candidates(q, p, 5, most=most), strict=True))
+            some = best(5, i, exact(q[i], p[j]), j)
+            assert [j[some][i[some] == n].tolist() for n in range(90)] == want
