@@ -344,10 +344,11 @@ def score_requests_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trained_recall_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of the trained index by the default probes, for the transactions whose event_id is divisible by 100."""
     refs = _written(spark, sf_dir)
-    index, refs = _trained(spark, sf_dir, refs), refs.withColumn("pos", F.col("ref_id"))
+    scratch = Scratch(spark, "searched")
+    index, refs = _placed(_trained(spark, sf_dir, refs), scratch), refs.withColumn("pos", F.col("ref_id"))
     asked = refs.where("ref_id % 100 = 0").withColumnRenamed("ref_id", "qid")
-    found = knn.ivf(asked, index.refs, index.centroids, features.NAMES, nprobe=Config.nprobe, not_self="ref_id")
-    return knn.recall(found, knn.brute(asked, refs, features.NAMES, not_self="ref_id"))
+    found = knn.ivf(asked, index.refs, index.centroids, features.NAMES, nprobe=Config.nprobe, not_self="ref_id", scratch=scratch)
+    return knn.recall(found, knn.brute_by_clusters(asked, refs, index.centroids, features.NAMES, Scratch(spark, "compared"), not_self="ref_id"))
 
 
 # The public SplitMix64 sequence: each state is the seed and a multiple of its step, and goes through three mixing steps.
